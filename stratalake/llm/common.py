@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 """Bytes of text handled at once by the vectorised routines."""
 
 
@@ -140,56 +140,62 @@ BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 BASE = U64(0x9E3779B97F4A7C15)
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(max(1, n), BASE, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_tables: list[np.ndarray] = []
 
 
-_powers = powers(4096)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and its inverse, i < n, modulo 2 ** 64."""
+    if not _tables or len(_tables[0]) < n:
+        _tables[:] = []
+        for x in (int(BASE), pow(int(BASE), -1, 1 << 64)):
+            t = np.full(max(n, BLOCK + 4096), U64(x), np.uint64)
+            t[0] = 1
+            _tables.append(np.multiply.accumulate(t))
+    return _tables[0], _tables[1]
+
+
+FOLDED = BYTE[LOWER]
 
 
 def word_table(data: np.ndarray, off: np.ndarray, lower: bool = True, sep: np.ndarray = SPACE):
     """Words of the rows off[i]..off[i+1]: (first byte, length, 64-bit hash, words per row).
 
-    Runs in blocks that end at a separator or a row's end, so memory follows the
-    block and not the longest row.
+    Hashes are polynomials in BASE, taken from one running sum per block. Blocks end at
+    a separator or a row's end, so memory follows the block and not the longest row.
     """
-    global _powers
     S, L, H = [], [], []
+    code = FOLDED if lower else BYTE
     lo, end = int(off[0]), int(off[-1])
     while lo < end:
         hi = min(lo + BLOCK, end)
-        while hi < end:
-            stop = min(int(off[np.searchsorted(off, hi)]), hi + BLOCK)
-            found = sep[data[hi:stop]]
-            k = int(found.argmax()) if len(found) else 0
-            if len(found) and not found[k]:
-                hi = stop
-                if hi in (end, int(off[np.searchsorted(off, hi)])):
-                    break
-                continue
-            hi += k
-            break
+        while hi < end and hi != (stop := int(off[np.searchsorted(off, hi)])):
+            found = np.flatnonzero(sep[data[hi : min(stop, hi + 65536)]])
+            if len(found):
+                hi += int(found[0])
+                break
+            hi = min(stop, hi + 65536)
         seg = data[lo:hi]
-        inside = ~sep[seg]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        a, b = np.searchsorted(off, lo), np.searchsorted(off, hi)
-        at = off[a:b] - lo
+        power, inverse = _powers(hi - lo + 1)
+        inside = ~sep.take(seg)
+        first = np.empty(len(seg), bool)
+        first[0] = inside[0]
+        np.greater(inside[1:], inside[:-1], out=first[1:])
+        last = np.empty(len(seg), bool)
+        last[-1] = inside[-1]
+        np.greater(inside[:-1], inside[1:], out=last[:-1])
+        at = off[np.searchsorted(off, lo) : np.searchsorted(off, hi)] - lo
         first[at] = inside[at]
+        at = at[at > 0] - 1
+        last[at] = inside[at]
         starts = np.flatnonzero(first)
         if len(starts):
-            bytes_ = seg[inside]
-            if lower:
-                bytes_ = LOWER[bytes_]
-            before = np.cumsum(inside, dtype=np.int64)
-            w0 = before[starts] - 1
-            lens = np.diff(w0, append=len(bytes_))
-            if (m := int(lens.max())) > len(_powers):
-                _powers = powers(m)
-            pos = np.arange(len(bytes_)) - np.repeat(w0, lens)
-            H.append(mix(np.add.reduceat(BYTE[bytes_] * _powers[pos], w0) + lens.astype(np.uint64)))
+            ends = np.flatnonzero(last)
+            run = code.take(seg)
+            run *= power[: len(seg)]
+            np.add.accumulate(run, out=run)
+            before = np.where(starts > 0, run[starts - 1], U64(0))
+            lens = ends + 1 - starts
+            H.append(mix((run[ends] - before) * inverse[starts] + lens.astype(np.uint64)))
             S.append(starts + lo)
             L.append(lens)
         lo = hi

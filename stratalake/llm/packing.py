@@ -19,6 +19,7 @@ the prefix sum that places the tails is over two integers per partition.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -30,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import arrow_map, cut
+from stratalake.llm.common import arrow_map, chunks, cut, utf8, word_table
 
 WINDOW, OPEN, END = 4096, 64, 2
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 400_000
+CACHE = 600_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -49,13 +50,21 @@ def _letters() -> str:
     return "".join(chr(c) for c in range(0x80, 0x17F) if unicodedata.category(chr(c))[0] == "L" and c != 0x130)
 
 
-class WordTokenizer:
-    """Ids of a text as packed little-endian 32-bit words.
+#: Bytes of odd characters: controls, and leads of U+0080..U+00BF and of all from U+0180.
+_RARE = np.zeros(256, bool)
+_RARE[[*(b for b in range(32) if b not in (9, 10, 11, 12, 13)), 0x7F, 0xC2, *range(0xC6, 0x100)]] = True
+MARK = b"\xff\xff\xff\xff"
+
 
-    The vocabulary is a BPE over pre-split words, so a text's ids are those of its
-    words; each distinct word is encoded once by the tokenizer and kept. This holds
-    for the plain Latin characters below U+017F; a text with any other character, or
-    with a special token's opening, is encoded whole.
+class WordTokenizer:
+    """Ids of texts, as rows of little-endian 32-bit words.
+
+    The vocabulary is a BPE over pre-split words in lower case, so a text's ids are those
+    of its words. Words are told apart by a 64-bit hash; each new one is split as the
+    tokenizer splits it, and pieces not met before are encoded by the tokenizer, many to
+    a call with a line break between them. This holds for the plain Latin characters
+    below U+017F; a text with any other character, or with a special token's opening,
+    is encoded whole. At most CACHE words are kept, then all go.
     """
 
     def __init__(self, path: str):
@@ -63,34 +72,101 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         letters = _letters()
-        self.plain = re.compile(f"[\\t\\n\\v\\f\\r -~{letters}]*").fullmatch
-        self.split = re.compile(f"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[A-Za-z{letters}]+|[0-9]|[^\\sA-Za-z0-9{letters}]+").findall
-        self.known: dict[str, bytes] = _Words(self)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if "<|" in text or not self.plain(text):
-            return self.whole(text)
-        if len(self.known) > CACHE:
-            self.known.clear()
-        return b"".join(map(self.known.__getitem__, self.split(text)))
-
-
-class _Words(dict):
-    def __init__(self, owner: WordTokenizer):
-        self.owner = owner
-
-    def __missing__(self, word: str) -> bytes:
-        out = self[word] = self.owner.whole(word)
-        return out
+        self.odd = re.compile(f"[^\\t\\n\\v\\f\\r -~{letters}]").search
+        self.split = re.compile(f"'(?:[stmd]|re|ve|ll)|[a-z{letters}]+|[0-9]|\\n|[^\\sa-z0-9{letters}]+").findall
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.pieces: dict[str, bytes] = {"\n": MARK}
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _pieces(self, new: list[str]) -> None:
+        groups = [new[i : i + 64] for i in range(0, len(new), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(group):
+                raise ValueError("the vocabulary does not mark word ends")
+            raw, at = ids.tobytes(), 0
+            for piece, end in zip(group, (4 * ends).tolist(), strict=True):
+                self.pieces[piece] = raw[at:end]
+                at = end
+
+    def _add(self, hashes: list[int], words: list[str]) -> None:
+        flat = self.split("\n".join(words).lower() + "\n")
+        if missing := list(set(flat) - self.pieces.keys()):
+            self._pieces(missing)
+        ids = np.frombuffer(b"".join(map(self.pieces.__getitem__, flat)), "<u4")
+        stop = np.flatnonzero(ids == 0xFFFFFFFF)
+        size = np.diff(stop, prepend=-1) - 1
+        ids = ids[ids != 0xFFFFFFFF]
+        n, need = len(self.slot), self.used + len(ids)
+        while len(self.ids) < need:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.start) < n + len(words):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.ids[self.used : need] = ids
+        self.start[n : n + len(words)] = self.used + np.cumsum(size) - size
+        self.size[n : n + len(words)] = size
+        self.used = need
+        self.slot.update(zip(hashes, range(n, n + len(words)), strict=True))
+
+    @staticmethod
+    def _plain(data: np.ndarray) -> bool:
+        """Whether rows can hold no odd character, by their bytes alone."""
+        raw = data.tobytes()
+        return not _RARE.take(data).any() and not any(x in raw for x in (b"<|", b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0", b"\xc5\xbf"))
+
+    def __call__(self, col: pa.Array) -> list[bytes]:
+        """The ids of each row; null is empty."""
+        data, off = utf8(col)
+        starts, lens, h, counts = word_table(data, off, lower=False)
+        if len(self.slot) > CACHE:
+            self.clear()
+        order = np.argsort(h)
+        ranked = h[order]
+        edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(h) else np.zeros(0, np.int64)
+        u, first = ranked[edge], order[edge]
+        back = np.empty(len(h), np.int64)
+        back[order] = np.repeat(np.arange(len(u)), np.diff(edge, append=len(h)))
+        key = u.tolist()
+        slots = np.fromiter((self.slot.get(x, -1) for x in key), np.int64, len(key))
+        odd = {} if self._plain(data[off[0] : off[-1]]) else {k: t for k, t in enumerate(col.to_pylist()) if t and ("<|" in t or self.odd(t))}
+        if len(new := np.flatnonzero(slots < 0)):
+            at = first[new]
+            row = np.searchsorted(np.cumsum(counts), at, side="right")
+            good = ~np.isin(row, list(odd)) if odd else np.ones(len(at), bool)
+            if odd:
+                # a word first met in an odd row may stand in a plain row too
+                plain = ~np.isin(np.repeat(np.arange(len(counts)), counts), list(odd))
+                where = np.full(len(u), -1)
+                where[back[plain][::-1]] = np.flatnonzero(plain)[::-1]
+                at = where[new]
+                good = at >= 0
+            new, at = new[good], at[good]
+            words = [data[a : a + n].tobytes().decode() for a, n in zip(starts[at].tolist(), lens[at].tolist(), strict=True)]
+            slots[new] = np.arange(len(self.slot), len(self.slot) + len(new))
+            self._add([key[k] for k in new.tolist()], words)
+        own = slots[back]
+        size = np.where(own >= 0, self.size[own], 0)
+        edge = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.start[own] - edge[:-1], size) + np.arange(edge[-1])]
+        rows = edge[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [self.whole(odd[k]).tobytes() if k in odd else ids[rows[k] : rows[k + 1]].tobytes() for k in range(len(col))]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(path: str) -> WordTokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
@@ -178,10 +254,10 @@ def _pack(path: str, window: int, limit: int, end_id: int, with_ids: bool, id_ty
             number += 1
 
         for b in batches:
-            docs, texts = b.column(0).to_pylist(), b.column(1)
-            for i in range(0, len(docs), 512):
-                for doc, text in zip(docs[i : i + 512], texts.slice(i, 512).to_pylist(), strict=True):
-                    ids = encode(text or "") + end
+            docs = b.column(0).to_pylist()
+            for i, j in chunks(utf8(b.column(1))[1]):
+                for doc, ids in zip(docs[i:j], encode(b.column(1).slice(i, j - i)), strict=True):
+                    ids += end
                     for full in pack.add((doc, len(ids) // 4), ids):
                         emit(full)
                 if len(rows) >= 2000:

@@ -21,9 +21,7 @@ sampled documents are counted on the executors, and scoring is a map without shu
 
 from __future__ import annotations
 
-import operator
-import zlib
-from collections import Counter
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -31,37 +29,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalake.llm.common import arrow_map
+from stratalake.llm.common import SPACE, U64, arrow_map, chunks, utf8, word_table
 
-BUCKETS, DIM, EPOCHS, RATE, SAMPLE, SEED = 1 << 16, 12, 12, 0.35, 4000, 17
-MIN_N, MAX_N = 2, 4
+DIM, EPOCHS, RATE, SAMPLE, SEED = 8, 8, 0.35, 4000, 17
 CUT = 0.7
-AGAIN = 0
-CACHE = 300_000
-
-
-def word_features(word: str) -> list[int]:
-    """Buckets of a word and of its character n-grams, with marked ends; bucket 0 is the repeated-word feature."""
-    marked = f"<{word}>".encode()
-    grams = [marked[i : i + n] for n in range(MIN_N, MAX_N + 1) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(b"w" + marked) % (BUCKETS - 1) + 1, *[zlib.crc32(g) % (BUCKETS - 1) + 1 for g in grams]]
-
-
-def text_features(text: str, known: dict[str, list[int]] | None = None) -> Counter:
-    words = text.split()
-    known = {} if known is None else known
-    out: Counter = Counter()
-    for word, n in Counter(words).items():
-        f = known.get(word)
-        if f is None:
-            f = known[word] = word_features(word)
-        for x in f:
-            out[x] += n
-    if again := sum(map(operator.eq, words, words[1:])):
-        out[AGAIN] = again * AGAIN_WEIGHT
-    return out
 
 
+_MARK = np.arange(256, dtype=np.uint8)
+_MARK[SPACE] = 32
+
+
+def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features, features per row) of whole texts, row after row.
+
+    Words and their character n-grams (2 to 4 bytes, a blank marking each end of a
+    word, none across words) are numbered by kind; the number 0 stands for a word that
+    repeats the one before it, weighted by AGAIN_WEIGHT copies.
+    """
+    starts, lens, h, counts = word_table(data, off, lower=False)
+    rows = np.repeat(np.arange(len(counts)), counts)
+    parts, owners = [(h % U64(WORDS - 1)).astype(np.int32) + 1], [rows]
+    again = np.flatnonzero((h[1:] == h[:-1]) & (rows[1:] == rows[:-1])) if len(h) else np.zeros(0, np.int64)
+    parts.append(np.zeros(len(again) * AGAIN_WEIGHT, np.int32))
+    owners.append(np.repeat(rows[again + 1], AGAIN_WEIGHT))
+    # words side by side, one blank between them
+    size = int(lens.sum()) + len(lens) + 1
+    text = np.full(size, 32, np.uint32)
+    inside = np.ones(size, bool)
+    ends = np.cumsum(lens + 1)
+    inside[0] = False
+    inside[ends] = False
+    keep = np.zeros(len(data), bool)
+    keep = ~SPACE.take(data[off[0] : off[-1]])
+    text[inside] = data[off[0] : off[-1]][keep]
+    first = np.concatenate([[0], np.cumsum(counts)])
+    edge = np.concatenate([[0], ends])[first]  # a row's words lie from here
+    for n, base in ((2, WORDS), (3, 2 * WORDS), (4, 3 * WORDS)):
+        m = size - n + 1
+        if m <= 0:
+            continue
+        x = np.zeros(m, np.uint32)
+        ok = np.ones(m, bool)
+        for j in range(n):
+            x += text[j : j + m] * _GRAM[n, j]
+            if 0 < j < n - 1:
+                ok &= inside[j : j + m]
+        if n == 2:
+            ok &= inside[:m] | inside[1 : 1 + m]
+        else:
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x2C1B3C6D)
+            x >>= np.uint32(16)
+        at = np.flatnonzero(ok)
+        parts.append(x[at].astype(np.int32) + base)
+        owners.append(np.searchsorted(edge[1:], at, side="right") if len(counts) > 1 else np.zeros(len(at), np.int64))
+    return parts, owners
+
+
+WORDS = 1 << 16
+BUCKETS = 4 * WORDS
+_GRAM = {(2, 0): np.uint32(256), (2, 1): np.uint32(1)} | {(n, j): np.uint32(0x9E3779B1 * (2 * j + 1) + 0x85EBCA6B * n & 0xFFFFFFFF | 1) for n in (3, 4) for j in range(n)}
 AGAIN_WEIGHT = 20
 """The pair feature counts as about as much as a word with its n-grams."""
 
@@ -73,12 +100,14 @@ def fold(col: str, parts: int):
 
 def _count(batches):
     for b in batches:
-        ids, counts = [], []
-        for text in b.column(0).to_pylist():
-            c = text_features(text or "")
-            ids.append(list(c))
-            counts.append(list(c.values()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), b.column(1)], ["ids", "counts", "y"])
+        data, off = utf8(b.column(0))
+        for i, j in chunks(off):
+            ids, counts = [], []
+            for k in range(i, j):
+                u, c = np.unique(np.concatenate(features(data, off[k : k + 2])[0]), return_counts=True)
+                ids.append(u.astype(np.int32))
+                counts.append(c.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), b.column(1).slice(i, j - i)], ["ids", "counts", "y"])
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
@@ -113,8 +142,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", parts: in
     ids = ids.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("text", "y", "doc_id")
     feats = arrow_map(chosen.select("text", F.struct("y", F.xxhash64("doc_id").alias("h")).alias("k")).select("text", F.to_json("k").alias("k")), _count, "ids array<int>, counts array<int>, y string")
-    import json
-
     rows = []
     for r in feats.toArrow().to_batches():
         for i in range(r.num_rows):
@@ -125,34 +152,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", parts: in
     return train([(ids, w, 1 if y else 0) for _, y, ids, w in rows])
 
 
-class Scorer:
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights, bias
-        self.sums, self.sizes = _Sums(self), {}
-
-    def __call__(self, text: str) -> float:
-        words = text.split()
-        if not words:
-            return 1 / (1 + np.exp(-self.bias))
-        if len(self.sizes) > CACHE:
-            self.sums.clear()
-            self.sizes.clear()
-        total = sum(map(self.sums.__getitem__, words))
-        size = sum(map(self.sizes.__getitem__, words))
-        again = AGAIN_WEIGHT * sum(map(operator.eq, words, words[1:]))
-        z = self.bias + (total + again * float(self.weights[AGAIN])) / (size + again)
-        return float(1 / (1 + np.exp(-z)))
-
-
-class _Sums(dict):
-    def __init__(self, owner: Scorer):
-        self.owner = owner
-
-    def __missing__(self, word: str) -> float:
-        f = word_features(word)
-        self.owner.sizes[word] = len(f)
-        out = self[word] = float(self.owner.weights[f].sum())
-        return out
+def scores(data: np.ndarray, off: np.ndarray, model: tuple[np.ndarray, float]) -> np.ndarray:
+    """Probability of label 1 for each row."""
+    weights, bias = model
+    n = len(off) - 1
+    total, size = np.zeros(n), np.zeros(n)
+    for f, rows in zip(*features(data, off), strict=True):
+        if len(f):
+            total += np.bincount(rows, weights.take(f), n)
+            size += np.bincount(rows, minlength=n)
+    return 1 / (1 + np.exp(-(bias + total / np.maximum(size, 1))))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *, keep: list[str], column: str = "score", at_least: float | None = None) -> DataFrame:
@@ -161,16 +170,15 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *, keep: list[str],
     fields = [docs.schema[c] for c in keep]
 
     def run(batches):
-        s = Scorer(*shared.value)
+        model = shared.value
         for b in batches:
-            texts, got = b.column(0), []
-            for i in range(0, b.num_rows, 512):
-                got += [s(t or "") for t in texts.slice(i, 512).to_pylist()]
+            data, off = utf8(b.column(0))
+            got = np.concatenate([scores(data, off[i : j + 1], model) for i, j in chunks(off)] or [np.zeros(0)])
             cols = [b.column(k + 1) for k in range(len(keep))]
             if at_least is None:
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(got, pa.float64())], [*keep, column])
             else:
-                yield pa.RecordBatch.from_arrays(cols, keep).filter(pa.array([x >= at_least for x in got]))
+                yield pa.RecordBatch.from_arrays(cols, keep).filter(pa.array(got >= at_least))
 
     src = docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in keep])
     return arrow_map(src, run, T.StructType([*fields, *([T.StructField(column, T.DoubleType())] if at_least is None else [])]))
