@@ -12,8 +12,11 @@
    below the threshold go, the rest are confirmed on full shingle sets.
 4. Components of the confirmed links come from alternating large-star and small-star
    rounds. Members of one bucket that are still in different components are then
-   compared across components only (in blocks, with the same estimate and the same
-   exact check), so no link between components is lost, and the components are final.
+   compared across components: the members outside the bucket's main component, as
+   queries, with blocks of at most about BLOCK members, by the same estimate and the
+   same exact check. A pair is compared in the first band it shares, and a query
+   reports one link for each component it meets, so what a group gives out follows its
+   size while no link between components is lost. The components are then final.
 
 Defined results: a null id is never linked (component_id null, kept true); a repeated
 doc_id is one document with the texts of all its rows, and each of its rows is
@@ -43,6 +46,7 @@ PERMS = BANDS * ROWS
 WORDS64 = PERMS // LANES
 SIGMAS = 6.0
 GROUP = 64
+BLOCK = 512
 
 _rng = np.random.default_rng(7041)
 _A = _rng.integers(1, 1 << 62, PERMS, dtype=np.uint64) * U64(2) + U64(1)
@@ -171,12 +175,78 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     members = placed.select("a", "part", F.col("b").alias("doc"), F.lit(False).alias("lead"))
     leads = placed.select("a", "part").distinct().select("a", "part", F.col("a").alias("doc"), F.lit(True).alias("lead"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    rows = members.unionByName(leads).join(text, "doc")
+    # one way at every size: the text is shuffled once, by its id
+    rows = members.unionByName(leads).join(text.hint("merge"), "doc")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = rows.select("a", "part", "doc", "lead", "text").repartition(n, "a", "part").sortWithinPartitions("a", "part", F.desc("lead"))
     return arrow_map(rows, _verify(threshold), "a long, b long")
 
 
+def estimates(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Estimated similarity of one packed signature with many, as `estimate` has it."""
+    d = (planes ^ x).reshape(len(planes), WORDS64, BITS)
+    miss = np.bitwise_count(np.bitwise_or.reduce(d, axis=2)).sum(axis=1)
+    return (1 - miss / PERMS - 2.0**-BITS) / (1 - 2.0**-BITS)
+
+
+def _cross(threshold: int):
+    """Rows come sorted by bucket, block and role: a block's members, held, then the queries against them."""
+    least = floor_estimate(threshold)
+
+    def lists(col: pa.Array, k: int) -> np.ndarray:
+        return col.flatten().to_numpy().view(np.uint64).reshape(-1, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, block = None, [], None
+        for b in batches:
+            key, part, role, node, comp, main = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            keys, planes = lists(b.column(6), BANDS), lists(b.column(7), WORDS64 * BITS)
+            data, off = utf8(b.column(8))
+            out = []
+            for i, j in chunks(off):
+                for k, s in enumerate(shingle_sets(data, off[i : j + 1]), i):
+                    if (key[k], part[k]) != group:
+                        group, held, block = (key[k], part[k]), [], None
+                    if role[k] == 0:
+                        held.append((node[k], comp[k], main[k], keys[k], planes[k], s))
+                        continue
+                    if block is None:
+                        if not held:
+                            continue
+                        n, c, m, kk, pp, ss = zip(*held, strict=True)
+                        block = np.array(n), np.array(c), np.array(m, bool), np.stack(kk), np.stack(pp), ss, np.array(list(map(len, ss)))
+                    out += _links(node[k], comp[k], keys[k], planes[k], s, np.uint64(np.int64(key[k]).view(np.uint64)), block, least, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _links(node, comp, keys, planes, s, key, block, least, threshold) -> list[tuple[int, int]]:
+    """One confirmed link of a query to each component of a block that it has any with."""
+    nodes, comps, main, all_keys, all_planes, sets, sizes = block
+    few, many = np.minimum(sizes, len(s)), np.maximum(sizes, len(s))
+    at = np.flatnonzero((comps != comp) & (main | (nodes < node)) & (100 * few >= threshold * many))
+    if len(at):
+        band = int(np.argmax(keys == key))
+        at = at[np.argmax(all_keys[at] == keys, axis=1) == band]
+    if len(at):
+        near = estimates(planes, all_planes[at])
+        at = at[np.argsort(-near, kind="stable")][: int((near >= least).sum())]
+    out, done = [], set()
+    for i in range(0, len(at), 64):
+        some = [k for k in at[i : i + 64] if comps[k] not in done]
+        if not some:
+            continue
+        joined = np.concatenate([sets[k] for k in some])
+        place = np.minimum(np.searchsorted(s, joined), len(s) - 1)
+        both = np.add.reduceat((s[place] == joined).astype(np.int64), np.concatenate([[0], np.cumsum([len(sets[k]) for k in some])[:-1]]))
+        for k, x in zip(some, both, strict=True):
+            if comps[k] not in done and 100 * x >= threshold * (len(s) + sizes[k] - x):
+                done.add(comps[k])
+                out.append((nodes[k], node))
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges (a, b).
 
@@ -235,14 +305,17 @@ def link(docs: DataFrame, *, threshold: int = THRESHOLD) -> tuple[DataFrame, Dat
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     placed = placed.join(mixed.select("key"), "key")
     main = placed.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top")).select("key", F.col("top.comp").alias("main"))
-    placed = cut(placed.join(main, "key").join(planes, "node").withColumn("blocks", F.ceil(F.col("c") / 256).cast("int")), "nd-mixed", "none")
-    a = placed.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), F.col("comp").alias("ca"), (F.col("comp") == F.col("main")).alias("a_main"), F.col("n").alias("na"), F.col("planes").alias("ap"))
-    b = placed.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("planes").alias("bp"))
-    cross = a.join(b, (a["key"] == b["key"]) & (a["block"] == b["block"]) & (F.col("ca") != F.col("cb")) & (F.col("a_main") | (F.col("a") < F.col("b"))) & near)
-    cross = cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    cross = cut(cross, "nd-cross")
-    if cross.limit(1).count():
-        more = cut(verify(cross, docs, threshold), "nd-more")
+    placed = cut(placed.join(main, "key").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")), "nd-mixed", "none")
+    if placed.limit(1).count():
+        text = docs.select(F.col("doc_id").cast("long").alias("node"), "text").hint("merge")
+        whole = cut(placed.select("node").distinct().join(text, "node").join(sig.select("node", "keys", "planes"), "node"), "nd-whole")
+        other = F.col("comp") == F.col("main")
+        held = placed.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "comp", other.alias("is_main"))
+        asked = placed.filter(~other).select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "comp", F.lit(False).alias("is_main"))
+        rows = held.unionByName(asked).join(whole, "node").select("key", "block", "role", "node", "comp", "is_main", "keys", "planes", "text")
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(n, "key", "block").sortWithinPartitions("key", "block", "role")
+        more = cut(arrow_map(rows, _cross(threshold), "a long, b long"), "nd-more")
         if more.limit(1).count():
             comps = cut(components(links.unionByName(more)), "nd-comps")
     labels = classes.join(comps, "node", "left").select("h1", "h2", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"))
