@@ -1,11 +1,11 @@
 """WARC archives: written by the executors, indexed first, then read by coalesced ranges.
 
 `write` puts one record per page into archives in the shared folder (one or more per
-partition, rolled at `roll` bytes): a response with the payload, or a revisit that
-names the response with the same payload. `index` walks the archives' headers and
-gives offset, length, URL and digest of every record without reading payloads.
-`fetch` sorts the chosen records by archive and offset, joins ranges that lie close
-together, and reads each joined range once.
+partition, rolled at `roll` bytes), each record a gzip member of its own: a response
+with the payload, or a revisit that names the response with the same payload.
+`index` walks the archives member by member and gives offset, length, URL and digest
+of every record; payloads are not kept. `fetch` sorts the chosen records by archive
+and offset, joins ranges that lie close together, and reads each joined range once.
 
 Defined results: null html is an empty payload; payloads under `least` bytes are
 always responses; a null page_id is written and read as null, is never referred to
@@ -20,8 +20,8 @@ joined range of at most `most` bytes or one record.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -58,6 +58,37 @@ def record(page_id: int | None, url: str | None, digest: str, size: int, body: b
 _SAFE = "".join(chr(c) for c in range(33, 127) if chr(c) != "%") + "%"
 
 
+GZIP = 31
+"""zlib's window bits of a gzip member."""
+
+
+def member(data: bytes) -> bytes:
+    z = zlib.compressobj(1, zlib.DEFLATED, GZIP)
+    return z.compress(data) + z.flush()
+
+
+def members(f, head: int = 1 << 16) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, first bytes) of each member of an open archive, a part at a time."""
+    at, rest = 0, f.read(1 << 18)
+    while rest:
+        z, size, text = zlib.decompressobj(GZIP), 0, b""
+        while True:
+            size += len(rest)
+            out = z.decompress(rest)
+            # headers stand at the start; of a payload no more than one part is held
+            if len(text) < head or text.count(b"\r\n\r\n") < 2:
+                text += out
+            if z.eof:
+                break
+            if not (rest := f.read(1 << 18)):
+                raise ValueError(f"the member at {at} has no end")
+        rest = z.unused_data
+        size -= len(rest)
+        yield at, size, text
+        at += size
+        rest = rest or f.read(1 << 18)
+
+
 def _fs(path: str):
     return pafs.FileSystem.from_uri(path)
 
@@ -80,7 +111,7 @@ def write(pages: DataFrame, *, least: int = LEAST, roll: int = ROLL) -> DataFram
         part, serial, out, done = TaskContext.get().partitionId(), 0, None, []
 
         def open_():
-            name = f"{root}/part-{part:05d}-{serial:04d}.warc"
+            name = f"{root}/part-{part:05d}-{serial:04d}.warc.gz"
             temp = f"{root}/.{part}-{serial}-{uuid.uuid4().hex}"
             return name, temp, fs.open_output_stream(temp)
 
@@ -95,7 +126,7 @@ def write(pages: DataFrame, *, least: int = LEAST, roll: int = ROLL) -> DataFram
             for k, body in enumerate(raw_texts(b.column(4))):
                 if out is None:
                     out, count, size = open_(), 0, 0
-                data = record(ids[k], urls[k], digests[k], sizes[k], b"" if refs[k] is not None else body, refs[k])
+                data = member(record(ids[k], urls[k], digests[k], sizes[k], b"" if refs[k] is not None else body, refs[k]))
                 out[2].write(data)
                 count, size = count + 1, size + len(data)
                 if size >= roll:
@@ -130,18 +161,11 @@ def index(files: DataFrame) -> DataFrame:
                 rows = []
                 fs, local = _fs(path)
                 with fs.open_input_file(local) as f:
-                    at, end = 0, f.size()
-                    while at < end:
-                        f.seek(at)
-                        block = f.read(4096)
-                        while (k := block.find(b"\r\n\r\n")) < 0 or (h := block.find(b"\r\n\r\n", k + 4)) < 0:
-                            if not (more := f.read(4096)):
-                                raise ValueError(f"{path}: record at {at} has no end of headers")
-                            block += more
+                    for at, length, block in members(f):
+                        k = block.index(b"\r\n\r\n")
+                        h = block.index(b"\r\n\r\n", k + 4)
                         warc, http = headers(block[:k]), headers(block[k + 4 : h])
-                        length = k + 4 + int(warc["content-length"])
                         rows.append((path, at, length, unquote(warc["warc-target-uri"]) or None, warc["warc-payload-digest"].removeprefix("sha256:"), warc["warc-type"], _page(warc["warc-record-id"]), _page(warc.get("warc-refers-to")), int(http["content-length"]), h + 4))
-                        at += length + 4
                 types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.int64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 10, types, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
 
@@ -178,7 +202,7 @@ def fetch(chosen: DataFrame, *, gap: int = GAP, most: int = MOST) -> DataFrame:
                     k = i
                     for start, length, count in joined(list(zip(at[i:j], size[i:j], strict=True)), gap, most):
                         data = f.read_at(length, start)
-                        got = [data[at[x] - start + body[x] : at[x] - start + size[x]] for x in range(k, k + count)]
+                        got = [zlib.decompress(data[at[x] - start : at[x] - start + size[x]], GZIP)[body[x] : -4] for x in range(k, k + count)]
                         yield pa.RecordBatch.from_arrays([*b.slice(k, count).columns, pa.array(got, pa.binary())], [*b.schema.names, "payload"])
                         k += count
                 i = j
