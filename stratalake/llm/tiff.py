@@ -326,7 +326,7 @@ def digests(df: DataFrame) -> DataFrame:
     """The contract's columns from decoded pages (doc_id, n_bytes, media, pixels)."""
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             doc, n = b.column(0), b.column(1)
             media, pixels = b.column(2).to_pylist(), b.column(3).to_pylist()
             sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
