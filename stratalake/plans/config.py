@@ -60,7 +60,11 @@ class Config:
             raise ConfigError("lazy needs materialize")
         if self.storeMode and not self.store:
             raise ConfigError("storeMode needs store")
+        for name in ("base", "store"):
+            if (p := getattr(self, name)) and Path(p).stem.lower() == self.schema.lower():
+                raise ConfigError(f"{name} {p} is named like the schema")
         dynamic = [n for n, t in self.tables.items() if t.get("filter")] + [c["name"] for c in self.columns if "getvariable" in str(c.get("expr", "")).lower()]
+        dynamic += [f"{n}.{c['name']}" for n, t in self.tables.items() for c in t.get("columns") or [] if "getvariable" in str(c.get("expr", "")).lower()]
         if (self.materialize or self.base) and dynamic:
             raise ConfigError(f"{dynamic[0]} depends on the session and cannot be materialized")
         if self.cache and any(Path(self.cache).resolve().is_relative_to(Path(x).resolve()) for x in self.layers):

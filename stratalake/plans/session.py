@@ -26,6 +26,9 @@ from stratalake.plans.tsql.render import Context, Renderer, quote
 # fixed values: procedures that are granted without doing anything
 GRANTED = {"sp_getapplock", "sp_releaseapplock"}
 
+# fixed values: settings that clients ask for on connecting
+SETTINGS = {"server_version": "16.0", "server_encoding": "UTF8", "client_encoding": "UTF8", "standard_conforming_strings": "on", "integer_datetimes": "on", "timezone": "UTC", "transaction_isolation": "read committed", "default_transaction_isolation": "read committed"}
+
 
 class Result:
     """Rows of a statement, or how many rows it changed."""
@@ -44,6 +47,7 @@ class Session:
         for sql in lake.function_sql:
             self.spark.sql(sql)
         self.variables = {**lake.config.sessionVariables, "user": user, **(variables or {})}
+        self.first = dict(self.variables)
         self.values: dict = {"@@identity": None, "@@rowcount": 0, "@@trancount": 0, "@@spid": id(self) % 32767, "@@version": "stratalake", "@@servername": "stratalake", "@@language": "us_english", "user": user}
         self.assigned: dict[str, object] = {}
         self.temps: dict[str, str] = {}
@@ -132,6 +136,24 @@ class Session:
             self.lake.reload()
             self.seen.clear()
             return None
+        if verb in ("CLOSE", "UNLISTEN", "DEALLOCATE"):
+            return None
+        if verb == "DISCARD":
+            for name in list(self.temps):
+                self.spark.catalog.dropTempView(self.temps.pop(name))
+            return None
+        if m := re.fullmatch(r"(?is)\s*RESET\s+(\w+)\s*;?\s*", text):
+            for k in list(self.variables) if m[1].upper() == "ALL" else [m[1]]:
+                if k in self.first:
+                    self.variables[k] = self.first[k]
+                else:
+                    self.variables.pop(k, None)
+            return None
+        if m := re.fullmatch(r"(?is)\s*SHOW\s+(TRANSACTION\s+ISOLATION\s+LEVEL|TIME\s+ZONE|\w+)\s*;?\s*", text):
+            name = {"transaction isolation level": "transaction_isolation", "time zone": "timezone"}.get(" ".join(m[1].lower().split()), m[1])
+            if name in self.variables or name.lower() in SETTINGS:
+                value = self.variables.get(name, SETTINGS.get(name.lower()))
+                return self.spark.createDataFrame([(None if value is None else str(value),)], T.StructType([T.StructField(name.lower(), T.StringType())]))
         if m := re.fullmatch(r"(?is)\s*SUMMARIZE\s+(.*?);?\s*", text):
             self.publish(m[1])
             q = m[1] if re.match(r"(?i)\s*(select|with)\b", m[1]) else f"SELECT * FROM {m[1]}"
@@ -139,6 +161,12 @@ class Session:
         self.publish(text)
         return self.spark.sql(_bind(_local_names(text, self.lake), self.variables), args=args)
 
+    def describe(self, text: str, params: dict | None = None) -> T.StructType:
+        """The columns that a query would answer with, without running it; none for other statements."""
+        self.publish(text)
+        queries = [s for s in parse(text) if s.kind == "query"]
+        return self.spark.sql(self.renderer(params).query(queries[-1].query)).schema if queries else T.StructType()
+
     def explain(self, text: str) -> DataFrame:
         """The steps of a statement: rendered SQL of queries, named checks and steps of writes."""
         steps = []
@@ -222,6 +250,12 @@ class Session:
     def s_exec(self, s: Node, params) -> Result:
         if s.name.lower() in GRANTED:
             return Result(self.spark.createDataFrame([(0,)], "result int"))
+        if s.name.lower() == "sp_tablecollations_100":
+            if len(s.args) != 1:
+                raise TSqlError("sp_tablecollations_100 takes the name of one table")
+            t = self.lake.tables.get(s.args[0].split(".")[-1].strip("[]").lower())
+            names = [*[c.name for c in t.columns], *[v for v, _ in t.virtual]] if t else []
+            return Result(self.spark.createDataFrame([(i, n, None, None) for i, n in enumerate(names, 1)], "colid int, name string, tds_collation binary, collation_name string"))
         raise TSqlError(f"Could not find stored procedure '{s.name}'", 2812)
 
     # ---- transactions
@@ -337,6 +371,38 @@ class Session:
             sql = f"SELECT * FROM ({sql}) ORDER BY {keys} LIMIT {int(n)}"
         return self.spark.sql(sql)
 
+    def pruned(self, s: Node, alias: str) -> Node | None:
+        """The FROM tree of a write without outer joins of one table that nothing else reads.
+
+        The rows that a write finds are distinct, so such a join neither adds nor removes any.
+        """
+
+        def reads(j: Node, t: Node) -> bool:
+            name = (t.alias or t.path[-1]).lower()
+            known = self.lake.tables.get(t.path[-1].lower())
+            if name == alias.lower() or known is None:
+                return True
+            own = {c.name.lower() for c in known.columns} | {v.lower() for v, _ in known.virtual}
+            for n in _nodes([s.source, s.where, getattr(s, "sets", None)], j.on):
+                if n.kind == "star" or n.kind == "column" and (n.path[-2].lower() == name if len(n.path) > 1 else n.path[0].lower() in own):
+                    return True
+            return False
+
+        def strip(x: Node) -> Node:
+            if x.kind == "group":
+                return Node("group", source=strip(x.source))
+            if x.kind != "join":
+                return x
+            for kind, outer, inner in (("LEFT", x.right, x.left), ("RIGHT", x.left, x.right)):
+                if x.type == kind and outer.kind == "table" and not reads(x, outer):
+                    return strip(inner)
+            return Node("join", type=x.type, left=strip(x.left), right=strip(x.right), on=x.on)
+
+        joins = lambda x: sum(n.kind == "join" for n in _nodes(x))
+        while s.source is not None and joins(after := strip(s.source)) < joins(s.source):
+            s.source = after
+        return s.source
+
     # ---- INSERT
     def s_insert(self, s: Node, params) -> Result:
         if s.table[-1].startswith("#"):
@@ -479,6 +545,7 @@ class Session:
             raise TSqlError("UPDATE of a temporary table is not supported")
         t, alias = self.target(s)
         self.need_key(t, "UPDATE")
+        s.source = self.pruned(s, alias)
         r = self.renderer(params)
         sets = {}
         tree = f"{quote(t.name)} AS {quote(alias)}" if s.source is None else r.source(s.source)
@@ -529,6 +596,7 @@ class Session:
             return self.delete_temp(s, params)
         t, alias = self.target(s)
         self.need_key(t, "DELETE")
+        s.source = self.pruned(s, alias)
         r = self.renderer(params)
         items = [(f"_was_{k}", f"{quote(alias)}.{quote(k)}") for k in t.key]
         df = self.affected_frame(s, t, alias, items, params, r, distinct=True)
@@ -630,6 +698,18 @@ class _Overlay:
         self.session.pending = self.before
 
 
+def _nodes(x, without: Node | None = None):
+    """Every node of a tree but those below `without`."""
+    if isinstance(x, Node):
+        if x is without:
+            return
+        yield x
+        x = list(vars(x).values())
+    if isinstance(x, (list, tuple)):
+        for v in x:
+            yield from _nodes(v, without)
+
+
 def _tables(s: Node):
     if s.kind == "table":
         yield s

@@ -224,6 +224,8 @@ class Parser:
     def exec_(self) -> Node:
         if self.is_op("("):
             self.refuse("EXEC of a text is not supported")
+        while self.op("."):  # empty parts before the name
+            pass
         name, args = self.dotted()[-1], []
         while self.tok.kind not in ("end",) and not self.is_op(";"):
             args.append(self.tok.text)

@@ -7,8 +7,10 @@ import zipfile
 import pytest
 
 from stratalake.functions import host
+from stratalake.plans.cli import main
 from stratalake.plans.config import Config, ConfigError, load
 from stratalake.plans.lake import Lake, LakeError
+from stratalake.plans.tsql.parser import parse
 from stratalake.sources.schema import Declared, Reference, Schema, read_package
 
 
@@ -163,3 +165,44 @@ def test_explain_names_steps(spark, stack):
     s = lake(spark, stack).session()
     assert [r[0] for r in s.explain("UPDATE orders SET amount = 1").collect()] == ["check", "step"]
     assert "Window" in s.explain("SELECT * FROM orders").collect()[1][1]
+
+
+def test_unread_outer_joins_leave_joined_writes(spark, stack):
+    put(f"{stack}/base/notes.json", '[{"order_id": 1, "note": "a"}, {"order_id": 1, "note": "b"}]')
+    s = lake(spark, stack, tables={"notes": {"key": ["note"]}}).session()
+
+    def tree(text):
+        n = parse(text)[0]
+        return s.pruned(n, s.target(n)[1]).kind
+
+    assert tree("DELETE o FROM orders o LEFT JOIN notes n ON n.order_id = o.order_id WHERE o.amount > 20") == "table"
+    assert tree("DELETE o FROM notes n RIGHT JOIN orders o ON n.order_id = o.order_id WHERE amount > 20") == "table"
+    for rest in ("LEFT JOIN notes n ON n.order_id = o.order_id WHERE n.note IS NULL", "LEFT JOIN notes n ON n.order_id = o.order_id WHERE note IS NULL", "JOIN notes n ON n.order_id = o.order_id"):
+        assert tree(f"DELETE o FROM orders o {rest}") == "join"
+    s.tsql("DELETE o FROM orders o LEFT JOIN notes n ON n.order_id = o.order_id LEFT JOIN notes m ON m.note = n.note WHERE o.amount = 10")
+    assert rows(s.tsql("SELECT order_id FROM orders")) == [(2,), (3,)]
+    s.tsql("UPDATE o SET amount = 5 FROM orders o LEFT JOIN notes n ON n.order_id = o.order_id WHERE n.note IS NULL AND o.order_id = 3")
+    assert rows(s.tsql("SELECT * FROM orders")) == [(2, 22), (3, 5)]
+
+
+def test_session_verbs(spark, stack):
+    s = lake(spark, stack).session(tenant="x")
+    assert s.sql("SHOW server_encoding").first()[0] == "UTF8" and s.sql("SHOW tenant").first()[0] == "x"
+    s.sql("SET tenant = 'y'")
+    assert s.sql("SHOW tenant").first()[0] == "y"
+    assert s.sql("RESET tenant") is None and s.sql("SHOW tenant").first()[0] == "x"
+    assert s.sql("DEALLOCATE ALL") is None and s.sql("SHOW TABLES").columns[-1] == "isTemporary"
+    s.tsql("SELECT 1 AS a INTO #t")
+    s.sql("DISCARD ALL")
+    assert not s.temps
+    assert [tuple(r)[:2] for r in s.tsql("EXEC ..sp_tablecollations_100 N'dbo.orders'").collect()] == [(1, "order_id"), (2, "amount")]
+    assert s.describe("SELECT amount AS a FROM orders").names == ["a"]
+
+
+def test_command_line(spark, stack, capsys):
+    layers = [f"{stack}/base", f"{stack}/top"]
+    assert main(["bake", *layers, "--key", "order_id", "--out", f"{stack}/baked"], spark) == 0
+    assert main(["query", f"{stack}/baked", "--tsql", "SELECT COUNT(*) AS n FROM orders"], spark) == 0
+    assert capsys.readouterr().out == "n\n3\n"
+    assert main(["query", "/nowhere", "--sql", "SELECT 1"], spark) == 64 and main(["query", *layers], spark) == 64
+    assert main(["query", *layers, "--tsql", "DELETE FROM orders"], spark) == 1
