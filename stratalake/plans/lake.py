@@ -6,7 +6,9 @@ import hashlib
 import json
 import logging
 import os
+import shutil
 import threading
+import uuid
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
@@ -240,17 +242,13 @@ class Lake:
         """Collapses the read layers; the key and the unique rules are enforced once more here."""
         if t.frozen:
             return
+        if self.keeps and self._reopen(t):
+            return
         plain = replace(t, writes=Writes(), virtual=[], filter=None)
         df = self._plain(plain)
         if self.config.store:
-            path = f"{self.config.store}/{t.name}"
-            sign = self._signature(t)
-            mark = Path(path + ".json")
-            if self.config.storeMode == "keep" and mark.exists() and json.loads(mark.read_text()) == sign:
-                t.frozen = path
-                return
+            path = f"{self.config.store}/{t.name}/table-{uuid.uuid4().hex[:12]}" if self.keeps else f"{self.config.store}/{t.name}"
             _write_sorted(df, t, path)
-            mark.write_text(json.dumps(sign))
             t.frozen = path
         else:
             t.frozen = state.save(df, t.name)
@@ -258,6 +256,44 @@ class Lake:
         if t.key and got.groupBy(*t.key).count().filter("count > 1").limit(1).count():
             t.frozen = None
             raise LakeError(f"duplicate key in {t.name}", "23505", 2627)
+        if self.keeps:
+            self.keep(t)
+
+    # ---- a kept store
+    @property
+    def keeps(self) -> bool:
+        """Whether the store is the state: tables it holds are no longer built from the layers."""
+        return bool(self.config.store) and (self.config.storeMode or "keep").lower() == "keep"
+
+    def _shape(self, t: Table) -> list:
+        return [[[c.name, c.dataType.simpleString()] for c in t.columns], t.key]
+
+    def _reopen(self, t: Table) -> bool:
+        mark = Path(self.config.store, f"{t.name}.json")
+        if not mark.exists():
+            return False
+        held = json.loads(mark.read_text())
+        if held["shape"] != self._shape(t):
+            raise LakeError(f"the store {self.config.store} holds {t.name} with other columns or another key; delete it to start again")
+        t.frozen, t.writes.rows, t.writes.tombs = held["table"], held["rows"], held["tombs"]
+        if held["identity"] is not None:
+            self.identities.setdefault(t.name.lower(), held["identity"])
+        used = {Path(p).name for p in (t.frozen, t.writes.rows, t.writes.tombs) if p}
+        for old in Path(self.config.store, t.name).iterdir():
+            if old.name not in used:
+                shutil.rmtree(old, ignore_errors=True)
+        return True
+
+    def keep(self, t: Table) -> None:
+        """Stores a table's write state beside its rows; one atomic rename makes it the table's state."""
+        held = {"shape": self._shape(t), "table": t.frozen, "identity": self.identities.get(t.name.lower())}
+        for kind, path in (("rows", t.writes.rows), ("tombs", t.writes.tombs)):
+            held[kind] = f"{self.config.store}/{t.name}/{kind}-{uuid.uuid4().hex[:12]}" if path else None
+            if path:
+                state.load(self.spark, path).write.option("compression", "zstd").parquet(held[kind])
+        temp = Path(self.config.store, f".{t.name}.tmp")
+        temp.write_text(json.dumps(held))
+        os.replace(temp, Path(self.config.store, f"{t.name}.json"))
 
     def _plain(self, t: Table, defaults: bool = True) -> DataFrame:
         branches = self.branches(t, self.spark) or [Branch(self.spark.createDataFrame([], T.StructType(t.columns)), 0)]
@@ -273,8 +309,6 @@ class Lake:
         name = hashlib.sha256(json.dumps(self._signature(t)).encode()).hexdigest()[:20]
         folder = f"{self.config.cache}/{t.name}"
         if not os.path.exists(f"{folder}/{name}/_SUCCESS"):
-            import shutil
-
             shutil.rmtree(folder, ignore_errors=True)
             _write_sorted(self._plain(t), t, f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
@@ -355,8 +389,8 @@ class Lake:
             L.write_file(df.select(*columns) if columns else df, path, kind, key)
 
     def stop(self) -> None:
-        """Flushes what a materialized lake still holds."""
-        if self.config.materialize:
+        """Flushes what a materialized lake still holds; a kept store holds it already."""
+        if self.config.materialize and not self.keeps:
             for t in self.tables.values():
                 if t.version:
                     self.persist(t)

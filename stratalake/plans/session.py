@@ -310,7 +310,9 @@ class Session:
             for name, w in changes.items():
                 t = self.lake.tables[name]
                 t.writes, t.version = Writes(w.rows, w.tombs), t.version + 1
-                if not self.lake.config.materialize:
+                if self.lake.keeps:
+                    self.lake.keep(t)
+                elif not self.lake.config.materialize:
                     self.lake.persist(t)
 
     def apply(self, changes: dict[str, Writes]) -> None:

@@ -206,3 +206,28 @@ def test_command_line(spark, stack, capsys):
     assert capsys.readouterr().out == "n\n3\n"
     assert main(["query", "/nowhere", "--sql", "SELECT 1"], spark) == 64 and main(["query", *layers], spark) == 64
     assert main(["query", *layers, "--tsql", "DELETE FROM orders"], spark) == 1
+
+
+def test_a_kept_store_is_the_state(spark, stack):
+    schema = Schema({"t": Declared("t", [("id", "INT"), ("label", "STRING")], ["id"], identity="id")})
+    put(f"{stack}/base/t.json", '[{"id": 5, "label": "a"}]')
+    options = {"materialize": True, "store": f"{stack}/kept", "write": f"{stack}/w"}
+
+    def opened(**more):
+        return lake(spark, stack, schema=schema, **{**options, **more})
+
+    with opened() as k:
+        k.session().tsql("INSERT INTO t (label) VALUES ('b'); UPDATE orders SET amount = 0 WHERE order_id = 1; DELETE FROM orders WHERE order_id = 3; DELETE FROM t WHERE id = 6")
+    assert not os.path.exists(f"{stack}/w/orders.json")
+    put(f"{stack}/base/orders.yaml", "- {order_id: 8, amount: 80}\n")
+    for lazy in (False, True):
+        with opened(lazy=lazy) as k:
+            assert rows(k.session().tsql("SELECT * FROM orders")) == [(1, 0), (2, 22)]
+    with opened() as k:
+        s = k.session()
+        s.tsql("INSERT INTO t (label) VALUES ('c')")
+        assert rows(s.tsql("SELECT id FROM t")) == [(5,), (7,)]
+    put(f"{stack}/top/orders.json", '[{"order_id": 2, "amount": 22, "more": 1}]')
+    with pytest.raises(LakeError, match="orders"):
+        opened()
+    assert rows(opened(store=f"{stack}/spilled", storeMode="spill").frame("orders").select("order_id")) == [(2,), (8,)]
