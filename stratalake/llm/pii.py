@@ -61,7 +61,7 @@ _CAP = r"[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]+"
 
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
-    ("secret", r"(?:password|passwd|secret|token|api_key)\s*[=:]\s*\"?[A-Za-z0-9_\-]{8,}\"?"),
+    ("secret", r"(?i:password|passwd|secret|token|api_key)\s*[=:]\s*\"?[A-Za-z0-9_\-]{8,}\"?"),
     ("access_key", r"\bAKIA[A-Z0-9]{16}\b"),
     ("phone", r"\+\d{1,3} ?\(\d{2,4}\) ?\d{3}-\d{4}|\(\d{3}\) ?\d{3}-\d{4}|\+\d{1,3}(?:[ \-]\d{2,4}){2,4}\b|\b\d{3}-\d{3}-\d{4}\b"),
     ("card", r"\b\d{4}(?:[ \-]?)\d{4}(?:[ \-]?)\d{4}(?:[ \-]?)\d{4}\b"),
@@ -71,13 +71,13 @@ PATTERNS = [
 ]
 FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 #: A text that holds none of these characters or words holds no entity.
-HINTS = [*_titles, *GENDER, "password", "passwd", "secret", "token", "api_key", "AKIA"]
-_digit = re.compile("[0-9@]").search
+HINTS = [*_titles, *GENDER, "AKIA"]
+_hint = re.compile("[0-9@]|(?i:password|passwd|secret|token|api_key)").search
 
 
 def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, type, normalised entity) of each find, left to right."""
-    if not _digit(text) and not any(h in text for h in HINTS):
+    if not _hint(text) and not any(h in text for h in HINTS):
         return
     for m in FIND.finditer(text):
         yield m.start(), m.end(), m.lastgroup, normal(m.lastgroup, m.group())
@@ -147,8 +147,9 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     if kind == "access_key":
         return "AKIA" + _letters(_prf(key, label, entity), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)
     if kind == "secret":
-        lower = "0123456789abcdef" if re.fullmatch("[0-9a-f]+", entity) else "abcdefghijklmnopqrstuvwxyz0123456789"
-        return _letters(_prf(key, label, entity) | _prf(key, label, entity, 2) << 256, lower, len(entity))
+        alphabet = "0123456789abcdef" if re.fullmatch("[0-9A-Fa-f]+", entity) else "abcdefghijklmnopqrstuvwxyz0123456789"
+        alphabet = alphabet.upper() if entity.isupper() else alphabet
+        return _letters(_prf(key, label, entity) | _prf(key, label, entity, 2) << 256, alphabet, len(entity))
     first, *rest = entity.split(" ")
     gender, script = traits(entity)
     h = _prf(key, label, "first", first)

@@ -75,6 +75,14 @@ def test_surrogates(spark):
     assert re.search(r"password=[0-9a-f]{18} AKIA[A-Z2-7]{16}", last[0]) and re.match("[а-яА-Я]+ [а-яА-Я]+$", last[1])
 
 
+def test_secrets_in_any_case():
+    text = 'TOKEN = "9233A8ECF7C5B09FE594"!! Secret: abcDEFgh, PASSWORD=ABCDEFGHJK'
+    new, spans = pii.replace(text, pii.KEY, {}, {})
+    assert [k for k, _, _ in spans] == ["secret"] * 3
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{20}"!! Secret: [a-z0-9]{8}, PASSWORD=[A-Z0-9]{10}', new) and new != text
+    assert list(pii.entities("Secrets and tokens of the trade")) == []
+
+
 def test_permutation_and_collisions(spark):
     assert sorted(pii.permute(b"k", "l", x, 1000) for x in range(1000)) == list(range(1000))
     rows = [(i, f"Anna {chr(65 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x") for i in range(2000)]
