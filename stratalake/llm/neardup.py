@@ -5,7 +5,8 @@
    class, found by a 128-bit digest, so exact copies never meet each other again.
 2. A class representative gets 192 minima. Whole minima, six to a band, make 32 band
    keys; of each minimum only four low bits stay, packed as bit planes of 64 lanes.
-   A pair at the threshold 0.85 misses all bands with probability 3e-7.
+   A pair at op3's threshold 0.85 misses all bands with probability 3e-7, one at the
+   pipeline's 0.8 with 6e-5.
 3. Buckets are never expanded into pairs. Each bucket links its members to one
    leader, the member that shares most buckets overall. The packed signatures give a
    collision-corrected estimate by bit counts; candidates six standard deviations
