@@ -3,10 +3,14 @@
 A text becomes the hashes of its consecutive word triples. MinHash bands of one row
 over overlapping windows of SPAN triples, one starting every STEP, retrieve
 templates, which are cut into blocks of SPAN - STEP + 1 triples, so that every copy
-of a block lies whole in some window. Even a template of three triples has similarity
-3 / 8 with that window, which BANDS bands miss with probability 1.3e-5; a full block
-has 5 / 8 and is missed with 6e-11. Retrieved templates are verified exactly: the share of a
-template's distinct triples that stand within its length around the window.
+of a block lies whole in some window. Even a template of two triples has similarity
+2 / 8 with that window, which BANDS bands miss with probability 1e-6; a full block
+has 5 / 8. Retrieved templates are verified exactly: the share of a
+template's distinct triples that stand within its length around the window, and all
+triples that tell it from a template of another license that holds LEAST of it.
+Of verified templates in one place (at least half of the places of the triples of one
+are the other's too) the one with most triples there stands, at equal numbers the best
+contained.
 
 A window can agree with a template in a minimum only if it holds that template
 triple, so windows (and texts) without any template triple leave before the minima
@@ -26,11 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN, STEP, BANDS = 8, 4, 24
+SPAN, STEP, BANDS = 8, 4, 48
 LEAST = 0.8
 MAX_TRIPLES = 20_000
 
-# fixed values: the notices that the licenses themselves ask for, as published
+# fixed values: notices that the licenses ask for, short lines as projects write them
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
@@ -42,7 +46,36 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC0-1.0", "Creative Commons Zero v1.0 Universal"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+_GNU = [("GPL", "General Public License", ("1", "2", "3")), ("LGPL", "Lesser General Public License", ("2.1", "3")), ("LGPL", "Library General Public License", ("2",)), ("AGPL", "Affero General Public License", ("3",))]
+for _short, _long, _versions in _GNU:
+    for _v in _versions:
+        _id = f"{_short}-{_v if '.' in _v else _v + '.0'}"
+        for _what in ("program", "library", "software"):
+            for _either, _or in (("either version", ", or (at your option) any later version."), ("version", "."), ("version", " only.")):
+                _text = f"This {_what} is free software: you can redistribute it and/or modify it under the terms of the GNU {_long} as published by the Free Software Foundation, {_either} {_v} of the License{_or}"
+                if (_id, _text) not in TEMPLATES:
+                    TEMPLATES.append((_id, _text))
+        TEMPLATES += [(_id, x) for x in dict.fromkeys((f"This work is licensed under the GNU {_long}, version {_v}.", f"GNU {_long} version {_v}", f"GNU {_long} v{_v}", f"GNU {_long} {_id[len(_short) + 1 :]}", f"GNU {_long} v{_id[len(_short) + 1 :]}", f"GNU {_long} version {_id[len(_short) + 1 :]}", f"SPDX-License-Identifier: {_id}")) if (_id, x) not in TEMPLATES]
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _short, _long in _CC.items():
+    for _v in ("2.0", "2.5", "3.0", "4.0"):
+        _kind = {"4.0": "International", "3.0": "Unported"}.get(_v, "Generic")
+        TEMPLATES += [(f"CC-{_short}-{_v}", x) for x in (f"This work is licensed under a Creative Commons {_long} {_v} {_kind} License.", f"Creative Commons {_long} {_v}", f"CC {_short} {_v}") if (f"CC-{_short}-{_v}", x) not in TEMPLATES]
+for _id, _name in (("MIT", "MIT"), ("ISC", "ISC"), ("BSD-2-Clause", "BSD 2-Clause"), ("BSD-3-Clause", "BSD 3-Clause"), ("BSD-2-Clause", "2-Clause BSD"), ("BSD-3-Clause", "3-Clause BSD")):
+    TEMPLATES += [(_id, f"under the {_name} License"), (_id, f"The {_name} License")][: 1 if " " not in _name else 2]
+TEMPLATES += [(x, f"SPDX-License-Identifier: {x}") for x in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CC0-1.0")]
+for _id, _name in (("Apache-2.0", "Apache License"), ("MPL-2.0", "Mozilla Public License"), ("EPL-1.0", "Eclipse Public License"), ("EPL-2.0", "Eclipse Public License")):
+    _v = _id.split("-")[1]
+    TEMPLATES += [(_id, f"{_name} {_v}"), (_id, f"{_name} v{_v}"), (_id, f"{_name} v. {_v}"), (_id, f"{_name} version {_v}")]
 
 
 def _hashes(df: DataFrame, text: str) -> DataFrame:
@@ -75,24 +108,44 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, least
     known = [r[0] for r in t.select(F.explode("own")).distinct().limit(MAX_TRIPLES + 1).collect()]
     if len(known) > MAX_TRIPLES:
         raise ValueError(f"the templates hold more than {MAX_TRIPLES} distinct triples; scan them in parts")
+    held = [(r["template"], r["license"], set(r["own"])) for r in t.collect()]
+    need = []
+    for i, name, own in held:
+        near = [x for _, other, x in held if other != name and len(own & x) >= least * len(own)]
+        need.append((i, sorted(set().union(*(own - x for x in near)))))
+    t = t.join(F.broadcast(spark.createDataFrame(need, "template int, need array<long>")), "template")
     block = SPAN - STEP + 1
-    blocks = t.select("template", "license", "own", "len", F.explode(F.transform(F.sequence(F.lit(1), F.col("len"), F.lit(block)), lambda s: F.slice("sh", s, F.lit(block)))).alias("b"))
-    bands = blocks.select("template", "license", "own", "len", F.posexplode(_minima("b")).alias("band", "min")).distinct()
+    blocks = t.select("template", "license", "own", "need", "len", F.explode(F.transform(F.sequence(F.lit(1), F.col("len"), F.lit(block)), lambda s: F.slice("sh", s, F.lit(block)))).alias("b"))
+    bands = blocks.select("template", "license", "own", "need", "len", F.posexplode(_minima("b")).alias("band", "min")).distinct()
 
     one = lambda x: x.isin(known)
-    d = _hashes(docs.select("doc_id", "text"), "text").select("doc_id", "sh").filter(F.exists("sh", one))
+    d = _hashes(docs.select("doc_id", "text"), "text").select("doc_id", F.xxhash64("sh").alias("row"), "sh").filter(F.exists("sh", one))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("sh") - F.lit(SPAN - STEP)), F.lit(STEP))
     longest = t.agg(F.max("len")).first()[0] or 0
-    windows = d.select("doc_id", "sh", F.explode(starts).alias("s")).select(
-        "doc_id", F.explode(F.array(F.slice("sh", F.col("s"), F.lit(SPAN)))).alias("win"), F.slice("sh", F.greatest(F.lit(1), F.col("s") - longest), F.lit(2 * longest + SPAN)).alias("near"), F.least(F.col("s") - 1, F.lit(longest)).alias("lead")
+    windows = d.select("doc_id", "row", "sh", F.explode(starts).alias("s")).select(
+        "doc_id", "row", "s", F.explode(F.array(F.slice("sh", F.col("s"), F.lit(SPAN)))).alias("win"), F.slice("sh", F.greatest(F.lit(1), F.col("s") - longest), F.lit(2 * longest + SPAN)).alias("near"), F.least(F.col("s") - 1, F.lit(longest)).alias("lead")
     )
     windows = windows.filter(F.exists("win", one))
-    rows = windows.select("doc_id", "near", "lead", F.posexplode(_minima("win")).alias("band", "min"))
+    rows = windows.select("doc_id", "row", "s", "near", "lead", F.posexplode(_minima("win")).alias("band", "min"))
     hits = rows.join(F.broadcast(bands), ["band", "min"])
     # from one template length before the window to one after it
-    region = F.slice("near", F.greatest(F.lit(1), F.col("lead") + 1 - F.col("len")), 2 * F.col("len") + SPAN)
-    share = F.size(F.array_intersect("own", region)) / F.size("own")
-    return hits.select("doc_id", "template", "license", share.alias("containment")).filter(F.col("containment") >= least).groupBy("doc_id", "template", "license").agg(F.max("containment").alias("containment"))
+    start = F.greatest(F.lit(1), F.col("lead") + 1 - F.col("len"))
+    hits = hits.select("doc_id", "row", "template", "license", "own", "need", (F.col("s") - F.col("lead") + start - 1).alias("at"), F.slice("near", start, 2 * F.col("len") + SPAN).alias("region"))
+    hits = hits.withColumn("containment", F.size(F.array_intersect("own", "region")) / F.size("own"))
+    hits = hits.filter((F.col("containment") >= least) & (F.size(F.array_except("need", "region")) == 0))
+    places = F.filter(F.transform("region", lambda x, k: F.when(F.array_contains("own", x), F.col("at") + k)), lambda p: p.isNotNull())
+    hits = hits.select("doc_id", "row", "template", "license", "containment", places.alias("p")).distinct()
+    # in one place the largest stands
+    hit = F.struct((-F.size("p")).alias("less"), (-F.col("containment")).alias("worse"), "template", "license", F.array_min("p").alias("lo"), F.array_max("p").alias("hi"), "p")
+    best = hits.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+    kind = best.schema["hits"].dataType
+
+    def covered(kept: Column, h: Column) -> Column:
+        return F.exists(kept, lambda k: (k["lo"] <= h["hi"]) & (k["hi"] >= h["lo"]) & (2 * F.size(F.array_intersect(k["p"], h["p"])) >= F.size(h["p"])))
+
+    stand = F.aggregate("hits", F.array().cast(kind), lambda kept, h: F.when(covered(kept, h), kept).otherwise(F.concat(kept, F.array(h))))
+    best = best.select("doc_id", F.explode(stand).alias("h"))
+    return best.groupBy("doc_id", F.col("h.template").alias("template"), F.col("h.license").alias("license")).agg(F.max(-F.col("h.worse")).alias("containment"))
 
 
 def report(docs: DataFrame) -> DataFrame:
