@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="stratalake-")
         spark.conf.set("spark.checkpoint.dir", base)
     app = spark.sparkContext.applicationId
@@ -135,36 +137,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_rng = np.random.default_rng(20240607)
-BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-BASE = U64(0x9E3779B97F4A7C15)
-
-
-_tables: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse, i < n, modulo 2 ** 64."""
-    if not _tables or len(_tables[0]) < n:
-        _tables[:] = []
-        for x in (int(BASE), pow(int(BASE), -1, 1 << 64)):
-            t = np.full(max(n, BLOCK + 4096), U64(x), np.uint64)
-            t[0] = 1
-            _tables.append(np.multiply.accumulate(t))
-    return _tables[0], _tables[1]
-
-
-FOLDED = BYTE[LOWER]
+PLACES = 64
+_K = U64(0x9E3779B97F4A7C15)
+#: A value for each byte at each of a word's first PLACES places; further places are mixed when met.
+VALUE = mix((np.arange(256 * PLACES, dtype=np.uint64) + U64(1)) * _K)
 
 
 def word_table(data: np.ndarray, off: np.ndarray, lower: bool = True, sep: np.ndarray = SPACE):
     """Words of the rows off[i]..off[i+1]: (first byte, length, 64-bit hash, words per row).
 
-    Hashes are polynomials in BASE, taken from one running sum per block. Blocks end at
-    a separator or a row's end, so memory follows the block and not the longest row.
+    A word's hash sums a mixed value of each byte at its place, so no pattern of bytes
+    cancels out as in a polynomial. Blocks end at a separator or a row's end, so memory
+    follows the block and not the longest row, but for a word that is longer itself.
     """
     S, L, H = [], [], []
-    code = FOLDED if lower else BYTE
     lo, end = int(off[0]), int(off[-1])
     while lo < end:
         hi = min(lo + BLOCK, end)
@@ -175,7 +161,6 @@ def word_table(data: np.ndarray, off: np.ndarray, lower: bool = True, sep: np.nd
                 break
             hi = min(stop, hi + 65536)
         seg = data[lo:hi]
-        power, inverse = _powers(hi - lo + 1)
         inside = ~sep.take(seg)
         first = np.empty(len(seg), bool)
         first[0] = inside[0]
@@ -190,12 +175,20 @@ def word_table(data: np.ndarray, off: np.ndarray, lower: bool = True, sep: np.nd
         starts = np.flatnonzero(first)
         if len(starts):
             ends = np.flatnonzero(last)
-            run = code.take(seg)
-            run *= power[: len(seg)]
-            np.add.accumulate(run, out=run)
-            before = np.where(starts > 0, run[starts - 1], U64(0))
             lens = ends + 1 - starts
-            H.append(mix((run[ends] - before) * inverse[starts] + lens.astype(np.uint64)))
+            letters = seg[inside]
+            if lower:
+                letters = LOWER.take(letters)
+            at = np.cumsum(lens) - lens
+            kind = np.int32 if len(letters) < 1 << 23 else np.int64
+            place = np.arange(len(letters), dtype=kind) - np.repeat(at.astype(kind), lens)
+            place <<= 8
+            place += letters
+            value = VALUE.take(place, mode="clip")
+            if lens.max() > PLACES:
+                far = np.flatnonzero(place >= 256 * PLACES)
+                value[far] = mix((place[far].astype(np.uint64) + U64(1)) * _K)
+            H.append(mix(np.add.reduceat(value, at) + lens.astype(np.uint64)))
             S.append(starts + lo)
             L.append(lens)
         lo = hi

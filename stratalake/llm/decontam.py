@@ -10,15 +10,15 @@ text is null, or that has no words, has no windows. Repeated items and documents
 each handled as they come; an item id counts once per document. Other columns are
 not read, so their names cannot clash.
 
-Scale: no shuffle. The automaton is the only shared state. Its source windows are
-collected in blocks of at most `block_windows`, whose broadcast size is therefore
-bounded; a larger benchmark is scanned block by block, with the hits of earlier
-blocks carried along in a column, so results stay whole.
+Scale: no shuffle of documents. The automaton is the only shared state. The windows
+are written to the shared folder and travel in blocks of about `block_windows`: driver and broadcast hold one block at a time. A benchmark of
+one block has one automaton and one scan; each further block is one more automaton and
+one more scan, with the hits of earlier blocks carried along in a column.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalake.llm.common import arrow_map, raw_texts
+from stratalake.llm.common import arrow_map, cut, raw_texts
 
 WIDTH = 10
 BLOCK_WINDOWS = 200_000
@@ -47,8 +47,8 @@ def windows(raw: bytes, width: int) -> list[bytes]:
     return [b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))]
 
 
-def item_windows(items: DataFrame, id_col: str, text_cols: Sequence[str], width: int) -> list[tuple[bytes, list[str]]]:
-    """Distinct windows with the ids of their items, made on the executors."""
+def item_windows(items: DataFrame, id_col: str, text_cols: Sequence[str], width: int, block: int) -> list[DataFrame]:
+    """Distinct (window, item) rows in blocks of about `block` rows, a window whole in one block; made and kept on the executors."""
 
     def emit(batches):
         for b in batches:
@@ -57,27 +57,34 @@ def item_windows(items: DataFrame, id_col: str, text_cols: Sequence[str], width:
             yield pa.RecordBatch.from_arrays([pa.array([w for _, w in out], pa.binary()), pa.array([i for i, _ in out], pa.string())], ["window", "item"])
 
     src = items.select(F.col(id_col).cast("string").alias("item"), *[F.col(c).alias(f"t{k}") for k, c in enumerate(text_cols)])
-    flat = arrow_map(src, emit, "window binary, item string").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return [(bytes(r[0]), list(r[1])) for r in flat.toLocalIterator()]
+    # a window with its item is one row, so a window that many items share is no group
+    flat = cut(arrow_map(src, emit, "window binary, item string").distinct(), "dc-windows")
+    n = max(1, -(-flat.count() // block))
+    part = F.pmod(F.xxhash64("window"), F.lit(n))
+    return [flat.filter(part == k) for k in range(n)]
 
 
 class Matcher:
     """One automaton over ' w1 .. wn ' patterns; bytes stand for themselves as Latin-1 characters."""
 
-    def __init__(self, block: list[tuple[bytes, list[str]]]):
+    def __init__(self, block: list[tuple[bytes, str]]):
         import ahocorasick
 
-        self.items = [ids for _, ids in block]
-        self.width = [w.count(b" ") + 1 for w, _ in block]
+        items: dict[bytes, list[str]] = {}
+        for w, i in block:
+            items.setdefault(w, []).append(i)
+        self.items = list(items.values())
+        self.width = [w.count(b" ") + 1 for w in items]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, (w, _) in enumerate(block):
+        for k, w in enumerate(items):
             self.automaton.add_word(f" {w.decode('latin-1')} ", k)
-        self.automaton.make_automaton()
+        if self.items:
+            self.automaton.make_automaton()
 
     def find(self, doc: list[bytes]) -> list[tuple[int, int, int]]:
         """(first word, end word, window) of every occurrence."""
         text = f" {b' '.join(doc).decode('latin-1')} "
-        hits = list(self.automaton.iter(text)) if doc else []
+        hits = list(self.automaton.iter(text)) if doc and self.items else []
         if not hits:
             return []
         spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
@@ -85,7 +92,7 @@ class Matcher:
         return [(int(j) - self.width[k] + 1, int(j) + 1, k) for j, (_, k) in zip(last, hits, strict=True)]
 
 
-_matchers: dict[int, Matcher] = {}
+_matchers: dict[str, Matcher] = {}
 
 
 def _matcher(shared) -> Matcher:
@@ -97,11 +104,10 @@ def _matcher(shared) -> Matcher:
 
 
 class _Shared:
-    """A broadcast with an id that survives pickling."""
+    """A broadcast with an id of its own that survives pickling."""
 
     def __init__(self, spark, value):
-        self.cast, self.id = spark.sparkContext.broadcast(value), id(value)
-        self.id = hashlib.md5(repr(value[:50]).encode() + str(len(value)).encode()).hexdigest()
+        self.cast, self.id = spark.sparkContext.broadcast(value), uuid.uuid4().hex
 
     @property
     def value(self):
@@ -132,9 +138,7 @@ SPAN = "array<struct<first_word:long,end_word:long,first_byte:long,end_byte:long
 def scan(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_texts: Sequence[str] = ("text",), width: int = WIDTH, block_windows: int = BLOCK_WINDOWS, keep: Sequence[str] | None = None) -> DataFrame:
     """The columns `keep` of each document (default: all) with dc_words, dc_spans (merged hit spans) and dc_items (sorted item ids)."""
     spark = docs.sparkSession
-    found = item_windows(items, item_id, item_texts, width)
-    found.sort()
-    blocks = [found[i : i + block_windows] for i in range(0, len(found), block_windows)] or [[]]
+    blocks = item_windows(items, item_id, item_texts, width, block_windows)
     keep = list(docs.columns if keep is None else keep)
     base = [f for f in docs.schema if f.name in keep]
     schema = T.StructType([*base, T.StructField("dc_words", T.LongType()), T.StructField("dc_spans", T._parse_datatype_string(SPAN)), T.StructField("dc_items", T.ArrayType(T.StringType()))])
@@ -144,7 +148,8 @@ def scan(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id:
     for k, block in enumerate(blocks):
         last = k == len(blocks) - 1
         out_schema = schema if last or not carry else T.StructType([*base, T.StructField("dc_text", T.StringType()), *schema.fields[len(base) :]])
-        df = arrow_map(df, _scanner(_Shared(spark, block), len(base), text_at, k > 0, carry and not last), out_schema)
+        rows = [(bytes(w), i) for w, i in block.toLocalIterator()]
+        df = arrow_map(df, _scanner(_Shared(spark, rows), len(base), text_at, k > 0, carry and not last), out_schema)
     assert names == keep
     return df
 

@@ -1,38 +1,51 @@
 """License scans with DataFrame functions only.
 
 A text becomes the hashes of its consecutive word triples. MinHash bands of one row
-over overlapping windows of SPAN triples, one starting every STEP, retrieve
-templates, which are cut into blocks of SPAN - STEP + 1 triples, so that every copy
-of a block lies whole in some window. Even a template of two triples has similarity
-2 / 8 with that window, which BANDS bands miss with probability 1e-6; a full block
-has 5 / 8. Retrieved templates are verified exactly: the share of a
-template's distinct triples that stand within its length around the window, and all
-triples that tell it from a template of another license that holds LEAST of it.
-Of verified templates in one place (at least half of the places of the triples of one
-are the other's too) the one with most triples there stands, at equal numbers the best
-contained.
-
-A window can agree with a template in a minimum only if it holds that template
-triple, so windows (and texts) without any template triple leave before the minima
-are taken; this drops no match.
+over overlapping windows of SPAN triples, one starting every STEP, retrieve templates.
+A template is indexed by at most BLOCKS blocks of SPAN - STEP + 1 triples, evenly
+spread, so that every copy of a block lies whole in some window: even a template of
+two triples has similarity 2 / 8 with that window, which BANDS bands miss with
+probability 1e-6, and a whole block has 5 / 8. A copy of a long template is missed only
+if all its blocks are changed and the rest of each goes unseen as well.
+
+Retrieved templates are verified exactly, on whole texts: the share of a template's
+distinct triples that stand within its length around the stretch (of its length) that
+the window lies in, and all triples that tell it from a template of another license
+that holds LEAST of it. Of verified templates in one place (at least half of the places
+of the triples of one are the other's too) the one with most triples there stands, at
+equal numbers the best contained.
+
+A window can agree with a block in a minimum only if it holds one of its triples, so
+windows (and texts) without any triple of a block leave before the minima are taken.
+They are told by a bitmap of hashed triples; what passes it by chance is only work.
 
 Defined results: null and empty texts, and texts under three words, match nothing; a
 template found in several windows counts once, with its best containment; a repeated
-doc_id gets the matches of all its rows in each; extra columns are not read.
-
-Scale: a map over the documents; the templates' triples are literals of the plan and
-their minima a broadcast (both checked against MAX_TRIPLES); matches, not texts, are
-shuffled. No Python runs on the executors.
+doc_id gets the matches of all its rows in each; an empty table, or no templates, gives
+no match; extra columns are not read. Very long texts are single rows throughout.
+
+Scale: two maps over the documents with few rows between them: triples of texts that
+pass the bitmap are written once, retrieved (text, template, stretch) rows are joined
+to them. The templates may be any number: their list is on the driver as the caller
+gives it, the bitmap has at most MAX_BITS bits, and bands and triples of templates are
+broadcast only where their size, computed first, is at most BROADCAST_BYTES; beyond it
+they are joined by a shuffle. No Python runs on the executors.
 """
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN, STEP, BANDS = 8, 4, 48
+from stratalake.llm.common import cut
+
+SPAN, STEP, BANDS, BLOCKS = 8, 4, 48, 16
 LEAST = 0.8
-MAX_TRIPLES = 20_000
+MIN_BITS, MAX_BITS = 1 << 16, 1 << 24
+BROADCAST_BYTES = 64 << 20
 
 # fixed values: notices that the licenses ask for, short lines as projects write them
 TEMPLATES = [
@@ -55,6 +68,23 @@ TEMPLATES = [
     ("CC0-1.0", "Creative Commons Zero v1.0 Universal"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC_END = " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+TEMPLATES += [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY),
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_END),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies." + _ISC_END),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted." + _ISC_END),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+]
 _GNU = [("GPL", "General Public License", ("1", "2", "3")), ("LGPL", "Lesser General Public License", ("2.1", "3")), ("LGPL", "Library General Public License", ("2",)), ("AGPL", "Affero General Public License", ("3",))]
 for _short, _long, _versions in _GNU:
     for _v in _versions:
@@ -93,44 +123,73 @@ def _hashes(df: DataFrame, text: str) -> DataFrame:
 
 
 def _minima(window: str) -> Column:
-    
+    """The smallest hash of a window's triples, under each band's own hash function."""
+
     def band(k: int) -> Column:
         return F.array_min(F.transform(window, lambda x: F.xxhash64(x, F.lit(k))))
 
     return F.array(*[band(k) for k in range(BANDS)])
 
 
+def blocks_of(n: int) -> list[int]:
+    """Where (from 1) the indexed blocks of a template of n triples start."""
+    size = SPAN - STEP + 1
+    every = list(range(1, n + 1, size))
+    return every if len(every) <= BLOCKS else [every[i * (len(every) - 1) // (BLOCKS - 1)] for i in range(BLOCKS)]
+
+
+def telling(held: list[tuple[int, str, frozenset]], least: float) -> dict[int, list[int]]:
+    """For each template, its triples that some near template of another license lacks."""
+    need = {}
+    for i, name, own in held:
+        near = [x for _, other, x in held if other != name and len(x) >= least * len(own) and len(own & x) >= least * len(own)]
+        need[i] = sorted(frozenset().union(*(own - x for x in near)))
+    return need
+
+
+def bitmap(triples: np.ndarray) -> tuple[Column, int]:
+    """(array of longs, number of bits) that holds every triple's last bits."""
+    bits = min(MAX_BITS, max(MIN_BITS, 1 << (64 * max(1, len(triples)) - 1).bit_length()))
+    on = np.zeros(bits, np.uint8)
+    on[triples & (bits - 1)] = 1
+    words = np.packbits(on, bitorder="little").view("<i8")
+    return F.from_json(F.lit(json.dumps(words.tolist())), "array<bigint>"), bits
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, least: float = LEAST) -> DataFrame:
     """(doc_id, template number, license, containment) of every verified template."""
     spark = docs.sparkSession
     t = _hashes(spark.createDataFrame([(i, n, x) for i, (n, x) in enumerate(templates)], "template int, license string, text string"), "text")
-    t = t.select("template", "license", F.array_distinct("sh").alias("own"), F.size("sh").alias("len"), "sh").filter("len > 0")
-    known = [r[0] for r in t.select(F.explode("own")).distinct().limit(MAX_TRIPLES + 1).collect()]
-    if len(known) > MAX_TRIPLES:
-        raise ValueError(f"the templates hold more than {MAX_TRIPLES} distinct triples; scan them in parts")
-    held = [(r["template"], r["license"], set(r["own"])) for r in t.collect()]
-    need = []
-    for i, name, own in held:
-        near = [x for _, other, x in held if other != name and len(own & x) >= least * len(own)]
-        need.append((i, sorted(set().union(*(own - x for x in near)))))
-    t = t.join(F.broadcast(spark.createDataFrame(need, "template int, need array<long>")), "template")
-    block = SPAN - STEP + 1
-    blocks = t.select("template", "license", "own", "need", "len", F.explode(F.transform(F.sequence(F.lit(1), F.col("len"), F.lit(block)), lambda s: F.slice("sh", s, F.lit(block)))).alias("b"))
-    bands = blocks.select("template", "license", "own", "need", "len", F.posexplode(_minima("b")).alias("band", "min")).distinct()
-
-    one = lambda x: x.isin(known)
+    rows = [(r["template"], r["license"], r["sh"]) for r in t.select("template", "license", "sh").filter("size(sh) > 0").collect()]
+    need = telling([(i, n, frozenset(sh)) for i, n, sh in rows], least)
+    size = SPAN - STEP + 1
+    cells = [(i, sh[s - 1 : s - 1 + size]) for i, _, sh in rows for s in blocks_of(len(sh))]
+    held, n_bits = bitmap(np.array(sorted({x for _, b in cells for x in b}), np.int64))
+    fewest = min((int(np.ceil(least * len(set(sh)) - 1e-9)) for _, _, sh in rows), default=1)
+
+    def shared(df: DataFrame, size: int) -> DataFrame:
+        return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+    lists = spark.createDataFrame([(i, n, list(set(sh)), need[i], len(sh)) for i, n, sh in rows], "template int, license string, own array<long>, need array<long>, len int")
+    lists = shared(lists, sum(8 * (2 * len(sh) + 8) for _, _, sh in rows))
+    bands = spark.createDataFrame([(i, b, len(sh)) for (i, b), sh in zip(cells, [sh for _, _, sh in rows for _ in blocks_of(len(sh))], strict=True)], "template int, b array<long>, len int")
+    bands = shared(bands.select("template", "len", F.posexplode(_minima("b")).alias("band", "min")).distinct(), 48 * BANDS * len(cells))
+
+    def one(x: Column) -> Column:
+        at = x.bitwiseAND(F.lit(n_bits - 1))
+        return F.getbit(F.get(held, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    # the triples of texts that can hold a template at all
     d = _hashes(docs.select("doc_id", "text"), "text").select("doc_id", F.xxhash64("sh").alias("row"), "sh").filter(F.exists("sh", one))
+    d = cut(d.filter(F.size("sh") >= fewest), "license-triples")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("sh") - F.lit(SPAN - STEP)), F.lit(STEP))
-    longest = t.agg(F.max("len")).first()[0] or 0
-    windows = d.select("doc_id", "row", "sh", F.explode(starts).alias("s")).select(
-        "doc_id", "row", "s", F.explode(F.array(F.slice("sh", F.col("s"), F.lit(SPAN)))).alias("win"), F.slice("sh", F.greatest(F.lit(1), F.col("s") - longest), F.lit(2 * longest + SPAN)).alias("near"), F.least(F.col("s") - 1, F.lit(longest)).alias("lead")
-    )
-    windows = windows.filter(F.exists("win", one))
-    rows = windows.select("doc_id", "row", "s", "near", "lead", F.posexplode(_minima("win")).alias("band", "min"))
-    hits = rows.join(F.broadcast(bands), ["band", "min"])
-    # from one template length before the window to one after it
-    start = F.greatest(F.lit(1), F.col("lead") + 1 - F.col("len"))
-    hits = hits.select("doc_id", "row", "template", "license", "own", "need", (F.col("s") - F.col("lead") + start - 1).alias("at"), F.slice("near", start, 2 * F.col("len") + SPAN).alias("region"))
+    windows = d.select("doc_id", "row", "sh", F.explode(starts).alias("s")).select("doc_id", "row", "s", F.explode(F.array(F.slice("sh", F.col("s"), F.lit(SPAN)))).alias("win"))
+    found = windows.filter(F.exists("win", one)).select("doc_id", "row", "s", F.posexplode(_minima("win")).alias("band", "min")).join(bands, ["band", "min"])
+    found = found.select("doc_id", "row", "template", F.floor((F.col("s") - 1) / F.col("len")).alias("stretch")).distinct().withColumnsRenamed({"doc_id": "of", "row": "of_row"})
+    hits = d.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row"))).join(lists, "template")
+    # from one template length before the stretch to one after it
+    start = F.greatest(F.lit(1), (F.col("stretch") - 1) * F.col("len") + 1).cast("int")
+    hits = hits.select("doc_id", "row", "template", "license", "own", "need", start.alias("at"), F.slice("sh", start, 3 * F.col("len") + SPAN).alias("region"))
     hits = hits.withColumn("containment", F.size(F.array_intersect("own", "region")) / F.size("own"))
     hits = hits.filter((F.col("containment") >= least) & (F.size(F.array_except("need", "region")) == 0))
     places = F.filter(F.transform("region", lambda x, k: F.when(F.array_contains("own", x), F.col("at") + k)), lambda p: p.isNotNull())

@@ -56,11 +56,29 @@ _RARE[[*(b for b in range(32) if b not in (9, 10, 11, 12, 13)), 0x7F, 0xC2, *ran
 MARK = b"\xff\xff\xff\xff"
 
 
+def _same(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, back: np.ndarray, first: np.ndarray) -> bool:
+    """Whether every word equals the first of its hash, byte by byte."""
+    like = first[back]
+    if (lens != lens[like]).any():
+        return False
+    at = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+    return bool((data.take(np.repeat(starts, lens) + at) == data.take(np.repeat(starts[like], lens) + at)).all())
+
+
+def _by_bytes(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, first places, numbers of all words) of distinct words, told apart by their bytes."""
+    seen: dict[bytes, int] = {}
+    back = np.array([seen.setdefault(data[a : a + n].tobytes(), len(seen)) for a, n in zip(starts, lens, strict=True)], np.int64)
+    _, first = np.unique(back, return_index=True)
+    return np.arange(len(seen)), first, back
+
+
 class WordTokenizer:
     """Ids of texts, as rows of little-endian 32-bit words.
 
     The vocabulary is a BPE over pre-split words in lower case, so a text's ids are those
-    of its words. Words are told apart by a 64-bit hash; each new one is split as the
+    of its words. Equal words of a batch are found by a 64-bit hash and compared byte by
+    byte; across batches words are looked up by their bytes. Each new one is split as the
     tokenizer splits it, and pieces not met before are encoded by the tokenizer, many to
     a call with a line break between them. This holds for the plain Latin characters
     below U+017F; a text with any other character, or with a special token's opening,
@@ -79,7 +97,7 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.pieces: dict[str, bytes] = {"\n": MARK}
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -99,8 +117,8 @@ class WordTokenizer:
                 self.pieces[piece] = raw[at:end]
                 at = end
 
-    def _add(self, hashes: list[int], words: list[str]) -> None:
-        flat = self.split("\n".join(words).lower() + "\n")
+    def _add(self, words: list[bytes]) -> None:
+        flat = self.split(b"\n".join(words).decode().lower() + "\n")
         if missing := list(set(flat) - self.pieces.keys()):
             self._pieces(missing)
         ids = np.frombuffer(b"".join(map(self.pieces.__getitem__, flat)), "<u4")
@@ -116,7 +134,7 @@ class WordTokenizer:
         self.start[n : n + len(words)] = self.used + np.cumsum(size) - size
         self.size[n : n + len(words)] = size
         self.used = need
-        self.slot.update(zip(hashes, range(n, n + len(words)), strict=True))
+        self.slot.update(zip(words, range(n, n + len(words)), strict=True))
 
     @staticmethod
     def _plain(data: np.ndarray) -> bool:
@@ -136,7 +154,10 @@ class WordTokenizer:
         u, first = ranked[edge], order[edge]
         back = np.empty(len(h), np.int64)
         back[order] = np.repeat(np.arange(len(u)), np.diff(edge, append=len(h)))
-        key = u.tolist()
+        if not _same(data, starts, lens, back, first):
+            u, first, back = _by_bytes(data, starts, lens)
+        raw, base = data[off[0] : off[-1]].tobytes(), int(off[0])
+        key = [raw[a : a + n] for a, n in zip((starts[first] - base).tolist(), lens[first].tolist(), strict=True)]
         slots = np.fromiter((self.slot.get(x, -1) for x in key), np.int64, len(key))
         odd = {} if self._plain(data[off[0] : off[-1]]) else {k: t for k, t in enumerate(col.to_pylist()) if t and ("<|" in t or self.odd(t))}
         if len(new := np.flatnonzero(slots < 0)):
@@ -151,9 +172,8 @@ class WordTokenizer:
                 at = where[new]
                 good = at >= 0
             new, at = new[good], at[good]
-            words = [data[a : a + n].tobytes().decode() for a, n in zip(starts[at].tolist(), lens[at].tolist(), strict=True)]
             slots[new] = np.arange(len(self.slot), len(self.slot) + len(new))
-            self._add([key[k] for k in new.tolist()], words)
+            self._add([key[k] for k in new.tolist()])
         own = slots[back]
         size = np.where(own >= 0, self.size[own], 0)
         edge = np.concatenate([[0], np.cumsum(size)])
