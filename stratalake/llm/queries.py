@@ -39,8 +39,8 @@ def op8_quality(spark, sf_dir):
 
 
 def op9_tiff(spark, sf_dir):
-    stored = tiff.store(table(spark, sf_dir, "documents"))
-    return tiff.digests(tiff.pages(stored, "media", keep=["doc_id", "n_bytes", "media"]))
+    stored = tiff.fingerprint(tiff.store(table(spark, sf_dir, "documents")))
+    return tiff.digests(tiff.pages(stored, "media", keep=["doc_id", "n_bytes", "media_bytes", "media_sha256"]))
 
 
 def op10_warc(spark, sf_dir):

@@ -6,8 +6,10 @@ planar layout, no compression, PackBits, LZW and deflate, and the horizontal
 predictor. `encode` writes such files.
 
 Defined results: null bytes give no page; bytes that are no TIFF, or a damaged
-directory, give one row with `error` set and no pixels; empty images have no pixels;
-columns asked for with `keep` come along, others are not read.
+directory, give one row with `error` set and no pixels, and so does a page whose claimed
+size its bytes cannot hold or that is over MOST bytes; empty images have no pixels; an
+empty table gives no row; repeated files are read each time; columns asked for with
+`keep` come along, others are not read.
 
 Scale: a map without shuffle; a task holds one file and its pages at a time.
 """
@@ -48,29 +50,23 @@ def unpackbits(data: bytes, size: int) -> bytes:
 
 
 def packbits(data: bytes) -> bytes:
+    """Runs of three bytes or more as runs, all between them as literals."""
     a = np.frombuffer(data, np.uint8)
     if not len(a):
         return b""
     edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
     runs = np.diff(edge, append=len(a))
-    out, lit = bytearray(), bytearray()
-
-    def flush():
-        for k in range(0, len(lit), 128):
-            out.append(len(lit[k : k + 128]) - 1)
-            out.extend(lit[k : k + 128])
-        lit.clear()
-
-    for at, n in zip(edge.tolist(), runs.tolist(), strict=True):
-        if n < 3:
-            lit += data[at : at + n]
-            continue
-        flush()
+    long = np.flatnonzero(runs > 2)
+    out, done = bytearray(), 0
+    for at, n in [*zip(edge[long].tolist(), runs[long].tolist(), strict=True), (len(a), 0)]:
+        for k in range(done, at, 128):
+            out.append(min(at, k + 128) - k - 1)
+            out += data[k : min(at, k + 128)]
+        done = at + n
         while n:
             k = min(n, 128)
             out += bytes([257 - k if k > 1 else 0, data[at]])
             n -= k
-    flush()
     return bytes(out)
 
 
@@ -93,6 +89,8 @@ def unlzw(data: bytes, size: int) -> bytes:
         if prev is None:
             entry = table[code]
         else:
+            if code > len(table):
+                raise ValueError(f"LZW code {code} stands before its entry")
             entry = table[code] if code < len(table) else prev + prev[:1]
             table.append(prev + entry[:1])
         out.append(entry)
@@ -148,6 +146,12 @@ DECODE = {NONE: lambda d, n: d[:n], LZW: unlzw, PACKBITS: unpackbits, DEFLATE: l
 ENCODE = {NONE: bytes, LZW: lzw, PACKBITS: packbits, DEFLATE: lambda d: zlib.compress(d, 1)}
 
 
+#: The most bytes that one stored byte can stand for.
+GROWTH = {NONE: 1, PACKBITS: 64, LZW: 3700, DEFLATE: 1040, 32946: 1040}
+MOST = 1 << 30
+"""Bytes of one page's pixels; a larger page gives an error row (a binary value ends at 2 GB)."""
+
+
 # ------------------------------------------------------------------ directories
 def directories(data: bytes) -> Iterator[dict[int, tuple]]:
     """The tags of each image directory, in file order."""
@@ -193,15 +197,29 @@ def decode(data: bytes, tags: dict[int, tuple]) -> tuple[np.ndarray, int, int, i
     tiled = 322 in tags
     w, h = (one(322, 0), one(323, 0)) if tiled else (width, min(one(278, height), height) or height)
     offsets, counts = (tags[324], tags[325]) if tiled else (tags.get(273, ()), tags.get(279, ()))
+    if any(x != bits for x in tags.get(258, ())) or spp < 1:
+        raise ValueError("samples of several sizes, or none, are not read")
+    if width < 1 or height < 1:
+        return np.zeros((max(0, height), max(0, width), 1), np.uint8)[:0], width, height, spp, bits
+    if w < 1 or h < 1:
+        raise ValueError(f"blocks of {w} x {h}")
+    # what the file claims is held against its bytes before anything is allocated
+    size = height * ((width * spp * bits + 7) // 8)
+    if size > MOST or size > GROWTH[packing] * min(len(data), sum(counts)):
+        raise ValueError(f"{width} x {height} x {spp} of {bits} bits do not fit in {len(data)} bytes")
     kind = np.dtype(np.uint8 if bits == 1 else f"u{bits // 8}").newbyteorder(order)
     planes, inner = (spp, 1) if planar == 2 else (1, spp)
     out = np.zeros((height, width, spp), kind.newbyteorder("="))
-    across, down = (-(-width // w) if w else 0), (-(-height // h) if h else 0)
+    across, down = -(-width // w), -(-height // h)
+    if len(offsets) != across * down * planes:
+        raise ValueError(f"{len(offsets)} blocks where {across * down * planes} belong")
     for k, (at, size) in enumerate(zip(offsets, counts, strict=True)):
         plane, cell = divmod(k, across * down)
         y, x = cell // across * h, cell % across * w
         rows = h if tiled else min(h, height - y)
         row = (w * inner * bits + 7) // 8
+        if row * rows > GROWTH[packing] * size:
+            raise ValueError(f"block {k} is too short")
         raw = DECODE[packing](data[at : at + size], row * rows)
         if len(raw) < row * rows:
             raise ValueError(f"block {k} holds {len(raw)} of {row * rows} bytes")
@@ -283,6 +301,10 @@ def pages(df: DataFrame, column: str = "media", keep: Sequence[str] = ()) -> Dat
     return arrow_map(df.select(F.col(f"`{column}`").alias("__media"), *[F.col(f"`{c}`") for c in keep]), run, schema)
 
 
+DAMAGE = (ValueError, TypeError, LookupError, ArithmeticError, MemoryError, struct.error, zlib.error)
+"""What a damaged file can raise; anything else is a fault of this code."""
+
+
 def _walk(data: bytes) -> Iterator[tuple]:
     k, it = 0, None
     try:
@@ -291,50 +313,86 @@ def _walk(data: bytes) -> Iterator[tuple]:
             try:
                 a, width, height, spp, bits = decode(data, tags)
                 yield k, width, height, spp, bits, a.tobytes(), None
-            except (ValueError, KeyError, struct.error, zlib.error, IndexError) as e:
+            except DAMAGE as e:
                 yield k, None, None, None, None, None, f"{type(e).__name__}: {e}"
             k += 1
-    except (ValueError, struct.error) as e:
+    except DAMAGE as e:
         yield k, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
-ROW = 64
+ROW, PAGE_ROWS = 64, 4096
+#: Stored forms (compression, predictor, tile, pages at least), chosen by the payload's checksum.
+FORMS = [(DEFLATE, 2, 0, 1)] * 9 + [(DEFLATE, 1, 32, 2), (PACKBITS, 1, 0, 1), (PACKBITS, 2, 16, 1), (NONE, 1, 0, 2), (NONE, 2, 32, 1), (LZW, 1, 0, 1), (LZW, 2, 0, 2)]
 
 
-def store(docs: DataFrame, compression: int = DEFLATE, predictor: int = 2) -> DataFrame:
-    """Each text as a grey 8-bit image 64 wide, zero padded to whole rows: doc_id, n_bytes, media."""
+def stored(payload: bytes) -> bytes:
+    """A payload of whole rows as a grey 8-bit TIFF of one page per PAGE_ROWS rows, or more."""
+    a = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
+    compression, predictor, tile, least = FORMS[zlib.crc32(payload) % len(FORMS)]
+    n = min(len(a), max(least, -(-len(a) // PAGE_ROWS)))
+    return encode(np.array_split(a, n), compression, predictor, tile)
+
+
+def store(docs: DataFrame) -> DataFrame:
+    """Each text as grey 8-bit images 64 wide, zero padded to whole rows: doc_id, n_bytes, media."""
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 texts = raw_texts(b.column(1).slice(i, 256))
-                media = [encode([np.frombuffer(t.ljust(max(ROW, -(-len(t) // ROW) * ROW), b"\0"), np.uint8).reshape(-1, ROW)], compression, predictor) for t in texts]
+                media = [stored(t.ljust(max(ROW, -(-len(t) // ROW) * ROW), b"\0")) for t in texts]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 256), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
     return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def feature(pixels: bytes) -> str:
-    """Counts of the sixteen grey bands, then rows x columns."""
-    a = np.frombuffer(pixels, np.uint8)
-    bands = np.bincount(a >> 4, minlength=16)
-    return f"{len(a) // ROW}x{ROW}:" + ",".join(map(str, bands.tolist()))
+def fingerprint(media: DataFrame) -> DataFrame:
+    """Adds media_bytes and media_sha256, the stored form's size and digest."""
+    return media.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """The contract's columns from decoded pages (doc_id, n_bytes, media, pixels)."""
+    """The contract's columns from decoded pages, which come document by document, in page order.
+
+    df: doc_id, n_bytes, page, pixels, and media or its fingerprint. The feature counts
+    the sixteen grey bands, after rows x columns.
+    """
+    names = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
 
     def run(batches):
-        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
-            doc, n = b.column(0), b.column(1)
-            media, pixels = b.column(2).to_pylist(), b.column(3).to_pylist()
-            sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
-            ints = lambda xs: pa.array(list(xs), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [doc, n, ints(map(len, pixels)), sha(pixels), ints(zlib.crc32(p[-64:]) for p in pixels), ints(map(len, media)), sha(media), pa.array([feature(p) for p in pixels], pa.string())],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
+        now, rows = None, []
+
+        def close():
+            doc, n, size, sha, total, digest, tail, bands = now
+            rows.append((doc, n, total, digest.hexdigest(), zlib.crc32(tail), size, sha, f"{total // ROW}x{ROW}:" + ",".join(map(str, bands.tolist()))))
 
+        def flush():
+            types = [kind, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            cols = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 8, types, strict=True)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+        kind = pa.int64()
+        for b in batches:
+            kind = b.schema.field(0).type
+            head, page = [b.column(i).to_pylist() for i in range(4)], b.column(4).to_pylist()
+            for i in range(b.num_rows):
+                if page[i] == 0:
+                    if now:
+                        close()
+                    now = [*(c[i] for c in head), 0, hashlib.sha256(), b"", np.zeros(16, np.int64)]
+                pixels = b.column(5)[i].as_py() or b""
+                now[4] += len(pixels)
+                now[5].update(pixels)
+                now[6] = (now[6] + pixels[-ROW:])[-ROW:]
+                now[7] += np.bincount(np.frombuffer(pixels, np.uint8) >> 4, minlength=16)
+            yield flush()
+        if now:
+            close()
+            yield flush()
+
+    if "media" in df.columns:
+        df = fingerprint(df)
     kind = dict(df.select("doc_id").dtypes)["doc_id"]
-    return arrow_map(df.select("doc_id", "n_bytes", "media", "pixels"), run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow_map(df.select(*names, "page", "pixels"), run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

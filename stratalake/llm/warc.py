@@ -10,16 +10,21 @@ and offset, joins ranges that lie close together, and reads each joined range on
 Defined results: null html is an empty payload; payloads under `least` bytes are
 always responses; a null page_id is written and read as null, is never referred to
 and never refers; the smallest page_id is the response, and a page_id that repeats
-is written once per row; null URLs are written as an empty target; line breaks and
-blanks in URLs are percent-encoded in the archive; extra columns are not read.
-
-Scale: one shuffle of digests, not of payloads where the copies' table is small;
-archive files replace a half-written attempt by one rename; a fetch task holds one
+is written once per row; URLs come back as they were: one with characters that a header
+cannot hold is percent-encoded in its target line and stands whole in a line of its own,
+and a null URL has an empty target; an empty table gives no archive; extra columns are
+not read.
+
+Scale: a copy that follows a smaller page_id in its task drops its body at once; page
+ids and digests alone meet on the digest, salted, so a page copied a million times is no
+hot key; its reference comes back to the row by page id (the bodies left are shuffled
+for that where the references are too many to broadcast); archive files replace a half-written attempt by one rename; a fetch task holds one
 joined range of at most `most` bytes or one record.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -49,6 +54,8 @@ def record(page_id: int | None, url: str | None, digest: str, size: int, body: b
         f"WARC-Target-URI: {quote(url or '', safe=_SAFE)}",
         f"WARC-Payload-Digest: sha256:{digest}",
     ]
+    if url is not None and (not url or quote(url, safe=_SAFE) != url):
+        head.append(f"{EXACT}: {quote(url)}")
     if refers is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(body)}", "", ""]
@@ -58,6 +65,8 @@ def record(page_id: int | None, url: str | None, digest: str, size: int, body: b
 _SAFE = "".join(chr(c) for c in range(33, 127) if chr(c) != "%") + "%"
 
 
+EXACT = "X-Target-Quoted"
+"""A line with the whole URL, every odd character and % quoted, where the target line differs from it."""
 GZIP = 31
 """zlib's window bits of a gzip member."""
 
@@ -93,14 +102,53 @@ def _fs(path: str):
     return pafs.FileSystem.from_uri(path)
 
 
+SALTS = 64
+
+
+def references(seen: DataFrame) -> DataFrame:
+    """(copy, of, first): each page id whose payload a smaller one has, by digest."""
+    seen = seen.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+    some = seen.groupBy("digest", "salt").agg(F.min("page_id").alias("least"), F.max("page_id").alias("most"))
+    firsts = some.groupBy("digest").agg(F.min("least").alias("first"), F.max("most").alias("last")).filter("first < last").select(F.col("digest").alias("of"), "first")
+    some = some.join(firsts, F.col("digest") == F.col("of")).select("of", F.col("salt").alias("s"), "first")
+    found = seen.join(some, (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("s"))).filter("page_id > first")
+    return found.select(F.col("page_id").alias("copy"), "of", "first").distinct()
+
+
+def _lean(least: int, most: int = 200_000):
+    """Digests of the bodies; a body whose equal came before with a smaller page id is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        smallest: dict[bytes, int] = {}
+        for b in batches:
+            bodies, digests, sizes = raw_texts(b.column(2)), [], []
+            for k, (page, body) in enumerate(zip(b.column(0).to_pylist(), bodies, strict=True)):
+                d = hashlib.sha256(body)
+                digests.append(d.hexdigest())
+                sizes.append(len(body))
+                if page is not None and len(body) >= least:
+                    if smallest.get(d.digest(), page) < page:
+                        bodies[k] = None
+                    else:
+                        smallest[d.digest()] = page
+            if len(smallest) > most:
+                smallest.clear()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())], ["page_id", "url", "digest", "size", "body"])
+
+    return run
+
+
 def write(pages: DataFrame, *, least: int = LEAST, roll: int = ROLL) -> DataFrame:
     """Writes the archives; a row per archive: path, records, bytes."""
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.select("*", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").cast("long").alias("size"))
-    firsts = rows.filter((F.col("size") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("of"), "first")
-    rows = rows.join(firsts, (rows["digest"] == firsts["of"]) & (F.col("size") >= least) & F.col("page_id").isNotNull(), "left")
-    rows = rows.select("page_id", "url", "digest", "size", "html", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers"))
+    seen = rows.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").alias("size"))
+    refers = references(seen.filter((F.col("size") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest"))
+    rows = arrow_map(rows, _lean(least), "page_id long, url string, digest string, size long, body binary")
+    # rows that cannot refer have keys of their own, so none of them meet
+    can = (F.col("size") >= least) & F.col("page_id").isNotNull()
+    rows = rows.select("*", F.when(can, F.col("page_id")).otherwise(-1 - F.monotonically_increasing_id()).alias("k"), F.when(can, F.col("digest")).alias("kd"))
+    rows = rows.join(refers, (F.col("k") == F.col("copy")) & (F.col("kd") == F.col("of")), "left").select("page_id", "url", "digest", "size", "body", "first")
     # an archive's bytes must not depend on the order in which rows arrive
     rows = rows.sortWithinPartitions("page_id", "digest", "url")
     folder = scratch(spark, "warc")
@@ -123,7 +171,7 @@ def write(pages: DataFrame, *, least: int = LEAST, roll: int = ROLL) -> DataFram
         count = size = 0
         for b in batches:
             ids, urls, digests, sizes, refs = (b.column(i).to_pylist() for i in (0, 1, 2, 3, 5))
-            for k, body in enumerate(raw_texts(b.column(4))):
+            for k, body in enumerate(b.column(4).to_pylist()):
                 if out is None:
                     out, count, size = open_(), 0, 0
                 data = member(record(ids[k], urls[k], digests[k], sizes[k], b"" if refs[k] is not None else body, refs[k]))
@@ -165,7 +213,7 @@ def index(files: DataFrame) -> DataFrame:
                         k = block.index(b"\r\n\r\n")
                         h = block.index(b"\r\n\r\n", k + 4)
                         warc, http = headers(block[:k]), headers(block[k + 4 : h])
-                        rows.append((path, at, length, unquote(warc["warc-target-uri"]) or None, warc["warc-payload-digest"].removeprefix("sha256:"), warc["warc-type"], _page(warc["warc-record-id"]), _page(warc.get("warc-refers-to")), int(http["content-length"]), h + 4))
+                        rows.append((path, at, length, unquote(warc[EXACT.lower()]) if EXACT.lower() in warc else warc["warc-target-uri"] or None, warc["warc-payload-digest"].removeprefix("sha256:"), warc["warc-type"], _page(warc["warc-record-id"]), _page(warc.get("warc-refers-to")), int(http["content-length"]), h + 4))
                 types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.int64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 10, types, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
 

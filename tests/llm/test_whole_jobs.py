@@ -1,15 +1,18 @@
 """Sizes, hashes and damage that once gave wrong answers, against brute force."""
 
+import hashlib
 import random
 import re
 import struct
+import zlib
+import struct
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from test_operators import docs
 
-from stratalake.llm import common, decontam, license, neardup, packing
+from stratalake.llm import common, decontam, license, neardup, packing, tiff, warc
 
 pytest.importorskip("ahocorasick")
 
@@ -123,3 +126,67 @@ def test_a_library_of_five_hundred_texts(spark, monkeypatch, limit):
     rows += [(1000 + k, " ".join(r.choices(words, k=700))) for k in range(20)]
     got = {(x.doc_id, x.license) for x in license.scan(docs(spark, rows), library).collect()}
     assert got == {(k, f"L{k:03d}") for k in range(0, 500, 10)}
+
+
+# ------------------------------------------------------------------ 9
+def tiff_of(width, height, compression=1, data=b"\0" * 64, rows=None):
+    tags = [(256, 4, width), (257, 4, height), (258, 3, 8), (259, 3, compression), (277, 3, 1), (273, 4, 8), (278, 4, rows or height), (279, 4, len(data))]
+    out = struct.pack("<2sHI", b"II", 42, 8 + len(data)) + data + struct.pack("<H", len(tags))
+    for tag, kind, v in sorted(tags):
+        out += struct.pack("<HHI", tag, kind, 1) + (struct.pack("<I", v) if kind == 4 else struct.pack("<HH", v, 0))
+    return out + b"\0" * 4
+
+
+def test_damaged_images_give_error_rows(spark):
+    whole = tiff.encode([np.arange(64, dtype=np.uint8).reshape(8, 8)], tiff.LZW, 1)
+    rows = [("ok", tiff_of(8, 8)), ("none", tiff_of(0, 8)), ("wide", tiff_of(1 << 31, 1)), ("high", tiff_of(8, 1 << 31)), ("bomb", tiff_of(60_000, 60_000, 8)), ("blocks", tiff_of(8, 8, rows=2)), ("flat", tiff_of(8, 0)), ("null", None)]
+    r = random.Random(2)
+    for k in range(150):
+        bad = bytearray(whole)
+        for _ in range(1 + k % 3):
+            bad[r.randrange(len(bad))] = r.randrange(256)
+        rows.append((f"noise{k}", bytes(bad)))
+    got = {}
+    for x in tiff.pages(spark.createDataFrame(rows, "k string, media binary"), keep=["k"]).collect():
+        got.setdefault(x.k, []).append((x.pixels, x.error))
+    assert got["ok"] == [(bytearray(64), None)] and got["none"] == got["flat"] == [(bytearray(), None)] and "null" not in got
+    assert all(p is None and e for k in ("wide", "high", "bomb", "blocks") for p, e in got[k])
+    assert all(f"noise{k}" in got for k in range(150))
+    assert tiff.pages(spark.createDataFrame([], "k string, media binary")).count() == 0
+
+
+def test_every_stored_form_comes_back(spark):
+    r = random.Random(4)
+    texts = ["".join(r.choices("ab é\U0001f600", k=r.randint(0, 900))) for _ in range(300)] + ["x" * 700_000, "y z " * 150_000, None, ""]
+    pad = lambda t: (t or "").encode().ljust(max(64, -(-len((t or "").encode()) // 64) * 64), b"\0")
+    assert {zlib.crc32(pad(t)) % len(tiff.FORMS) for t in texts} == set(range(len(tiff.FORMS)))
+    kept = tiff.fingerprint(tiff.store(docs(spark, list(enumerate(texts)))))
+    got = {x.doc_id: x for x in tiff.digests(tiff.pages(kept, "media", keep=["doc_id", "n_bytes", "media_bytes", "media_sha256"])).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert (got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(pad(t)), hashlib.sha256(pad(t)).hexdigest(), zlib.crc32(pad(t)[-64:]))
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(tiff.stored(pad(t))), hashlib.sha256(tiff.stored(pad(t))).hexdigest())
+
+
+# ------------------------------------------------------------------ 10
+def test_archives_of_copies_and_odd_urls(spark):
+    """One body in a third of the rows, others null or tiny, ids in falling order, files rolled at every record."""
+    hot, other = "<p>" + "hot " * 100, "<p>" + "other é " * 60
+    urls = ["http://a/%20 b", "http://a/%2520", "", None, "http://x/\r\nX-Evil: 1", "http://é/%", "http://plain/?q=%C3"]
+    rows = [(500 - i, urls[i % 7], [hot, other, None, "tiny", "z" * 99, "z" * 100][i % 6]) for i in range(300)]
+    rows += [(None, "u", hot), (7, "u", hot), (500, "twice", hot), (-3, "n", other), (1000, "long", "q" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    idx = warc.index(warc.write(pages, roll=2000)).collect()
+    assert {(x.page_id, x.url) for x in idx} == {(i, u) for i, u, _ in rows} and len(idx) == len(rows)
+    least = {}
+    for i, _, h in rows:
+        if i is not None and len((h or "").encode()) >= 100:
+            least[h] = min(i, least.get(h, i))
+    want = []
+    for i, _, h in rows:
+        first = least.get(h) if i is not None else None
+        again = first is not None and first != i
+        want.append((i, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if again else "response", first if again else None))
+    got = [(x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in warc.report(pages).collect()]
+    key = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(got, key=key) == sorted(want, key=key)
