@@ -300,7 +300,7 @@ def test_warc(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
     files = warc.write(pages)
     idx = warc.index(files).collect()
-    assert {r.url for r in idx} == {"http://a/ b\n", None, "http://c/", "http://d/ ", "http://e", "http://f"}
+    assert {r.url for r in idx} == {"http://a/ b\n", None, "http://c/", "http://d/%20", "http://e", "http://f"}
     got = {r.page_id: r for r in warc.report(pages).collect()}
     assert (got[5].record_type, got[5].refers_to, got[3].record_type, got[None].record_type, got[7].record_type, got[8].record_type) == ("revisit", 3, "response", "response", "response", "response")
     assert all(got[i].payload_digest == hashlib.sha256((h or "").encode()).hexdigest() and got[i].payload_bytes == len((h or "").encode()) for i, _, h in rows)
