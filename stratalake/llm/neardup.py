@@ -14,19 +14,28 @@
 4. Components of the confirmed links come from alternating large-star and small-star
    rounds. Members of one bucket that are still in different components are then
    compared across components: the members outside the bucket's main component, as
-   queries, with blocks of at most about BLOCK members, by the same estimate and the
-   same exact check. A pair is compared in the first band it shares, and a query
-   reports one link for each component it meets, so what a group gives out follows its
-   size while no link between components is lost. The components are then final.
+   queries, with blocks of at most about WIDE members. First only sketches meet, of FINE
+   minima with one bit each; a member outlives this in the parts (of about BLOCK) where
+   its estimate with some other is within six standard deviations of the threshold.
+   Texts of these alone follow, to those parts, for the exact check. A pair is compared
+   in the first band it shares, and a query reports one link for each component it
+   meets, so what a group gives out follows its size while no link between components
+   is lost. The components are then final.
 
 Defined results: a null id is never linked (component_id null, kept true); a repeated
 doc_id is one document with the texts of all its rows, and each of its rows is
-returned; empty and null texts are linked with nothing; extra columns are not read.
+returned; empty and null texts are linked with nothing; an empty table gives no row; a
+very long text is one row throughout, its set built block by block; extra columns are
+not read.
 
 Scale: text is read twice and shuffled once (only candidate rows travel further), band
-rows are 16 bytes, copies collapse in a partial aggregation, hot buckets cost rows
-linear in their size, verification groups hold at most 65 texts, and every loop cuts
-lineage with a written table. Nothing is collected but scalar counts.
+rows are 16 bytes, copies collapse in a partial aggregation, verification groups hold
+at most some hundred texts, and every loop cuts lineage with a written table. Leaders
+meet their stars on a salted key. A hot bucket whose members are no copies of each other
+(similar texts under the threshold) costs a sketch of half a kilobyte for each member,
+bucket and WIDE members of it; its texts are not sent at all unless their similarity
+comes close to the threshold. Up to WIDE members a bucket's cost in rows is linear,
+beyond that it grows with size / WIDE. Nothing is collected but scalar counts.
 """
 
 from __future__ import annotations
@@ -46,12 +55,16 @@ BANDS, ROWS, BITS, LANES = 32, 6, 4, 64
 PERMS = BANDS * ROWS
 WORDS64 = PERMS // LANES
 SIGMAS = 6.0
-GROUP = 64
-BLOCK = 512
+GROUP, SPLIT = 64, 1024
+BLOCK, WIDE = 512, 8192
+FINE = 3072
+"""Lanes of the one-bit sketch: a standard deviation of 0.01 at the threshold."""
 
 _rng = np.random.default_rng(7041)
 _A = _rng.integers(1, 1 << 62, PERMS, dtype=np.uint64) * U64(2) + U64(1)
 _B = _rng.integers(1, 1 << 62, PERMS, dtype=np.uint64)
+_FA = _rng.integers(1, 1 << 31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FB = _rng.integers(0, 1 << 32, FINE, dtype=np.uint32)
 _STEP = [mix(np.array([k + 1], np.uint64))[0] | U64(1) for k in range(SHINGLE)]
 
 
@@ -169,9 +182,8 @@ def _verify(threshold: int):
 
 
 def verify(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are similar enough. Each text is compared in groups of a and at most GROUP partners."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    placed = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    """Pairs (a, b) whose full shingle sets are similar enough. Each text is compared in groups of a and about GROUP partners; c is the size of the bucket that joins a and b."""
+    placed = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / GROUP)).cast("int").alias("part"))
     placed = cut(placed, "nd-placed")
     members = placed.select("a", "part", F.col("b").alias("doc"), F.lit(False).alias("lead"))
     leads = placed.select("a", "part").distinct().select("a", "part", F.col("a").alias("doc"), F.lit(True).alias("lead"))
@@ -190,6 +202,90 @@ def estimates(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return (1 - miss / PERMS - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
+def fine(s: np.ndarray) -> np.ndarray:
+    """One bit of each of FINE minima of a set, packed."""
+    x = (s >> U64(32)).astype(np.uint32)
+    out = np.full(FINE, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(x), 16):
+        np.minimum(out, (x[i : i + 16, None] * _FA + _FB).min(axis=0), out=out)
+    bits = mix(out.astype(np.uint64) + np.arange(FINE, dtype=np.uint64) * U64(1 << 32)) >> U64(63)
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fine_estimates(x: np.ndarray, many: np.ndarray) -> np.ndarray:
+    return 1 - 2 * np.bitwise_count(many ^ x).sum(axis=1) / FINE
+
+
+def fine_floor(threshold: int) -> float:
+    """As floor_estimate, for the one-bit sketch."""
+    p = (1 + threshold / 100) / 2
+    return 2 * (p - SIGMAS * (p * (1 - p) / FINE) ** 0.5) - 1
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        data, off = utf8(b.column(1))
+        for i, j in chunks(off):
+            sets = shingle_sets(data, off[i : j + 1])
+            rows = pa.array([fine(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), rows], ["node", "n", "fine"])
+
+
+def _near(threshold: int):
+    """Rows come sorted by bucket, block and role, without texts: (key, block, part, role, node, comp, is_main) of all that some other may be linked with."""
+    least = fine_floor(threshold)
+    names = ["key", "block", "part", "role", "node", "comp", "is_main"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, block, out = None, [], None, []
+
+        def close():
+            if block is not None:
+                nodes, comps, main, _, _, _, part, used = block
+                out.extend((*group, int(part[k]), 0, int(nodes[k]), int(comps[k]), bool(main[k])) for k in np.flatnonzero(used))
+
+        def rows():
+            cols = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 7, kinds, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, names)
+
+        for b in batches:
+            key, at, role, node, comp, main, n = (b.column(i).to_pylist() for i in range(7))
+            keys = b.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, BANDS).astype(np.uint32)
+            prints = b.column(8).flatten().to_numpy().view(np.uint64).reshape(-1, FINE // 64)
+            for k in range(b.num_rows):
+                if (key[k], at[k]) != group:
+                    close()
+                    group, held, block = (key[k], at[k]), [], None
+                if role[k] == 0:
+                    held.append((node[k], comp[k], main[k], n[k], keys[k], prints[k]))
+                    continue
+                if not held:
+                    continue
+                if block is None:
+                    x = list(zip(*held, strict=True))
+                    nodes = np.array(x[0], np.int64)
+                    parts = (mix(nodes.view(np.uint64)) % U64(-(-len(nodes) // BLOCK))).astype(np.int64)
+                    block = nodes, np.array(x[1], np.int64), np.array(x[2], bool), np.array(x[3], np.int64), np.stack(x[4]), np.stack(x[5]), parts, np.zeros(len(nodes), bool)
+                nodes, comps, mains, sizes, all_keys, all_prints, parts, used = block
+                few, many = np.minimum(sizes, n[k]), np.maximum(sizes, n[k])
+                to = np.flatnonzero((comps != comp[k]) & (mains | (nodes < node[k])) & (100 * few >= threshold * many))
+                if len(to):
+                    band = int(np.argmax(keys[k] == np.uint32(key[k] & 0xFFFFFFFF)))
+                    to = to[np.argmax(all_keys[to] == keys[k], axis=1) == band]
+                if len(to):
+                    to = to[fine_estimates(prints[k], all_prints[to]) >= least]
+                    used[to] = True
+                    out.extend((*group, int(p), 1, node[k], comp[k], False) for p in np.unique(parts[to]))
+                if len(out) > 20_000:
+                    yield rows()
+        close()
+        yield rows()
+
+    return run
+
+
 def _cross(threshold: int):
     """Rows come sorted by bucket, block and role: a block's members, held, then the queries against them."""
     least = floor_estimate(threshold)
@@ -288,12 +384,14 @@ def link(docs: DataFrame, *, threshold: int = THRESHOLD) -> tuple[DataFrame, Dat
     score = member.groupBy("node").agg(F.sum("c").alias("score"))
     ranked = member.join(score, "node")
     leader = ranked.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("a"))
-    star = member.join(leader, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    star = member.join(leader, "key").filter("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.max("c").alias("c"))
+    star = cut(star.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / SPLIT))), "nd-stars", "none")
     planes = sig.select("node", "n", "planes")
     left = planes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("planes").alias("ap"))
     right = planes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("planes").alias("bp"))
     near = candidate(F.col("na"), F.col("nb"), F.col("ap"), F.col("bp"), threshold)
-    tried = cut(star.join(right, "b").join(left, "a").filter(near).select("a", "b").distinct(), "nd-star")
+    leaders = star.select("a", "salt").distinct().join(left, "a")
+    tried = cut(star.join(right, "b").join(leaders, ["a", "salt"]).filter(near).select("a", "b", "c"), "nd-star")
     links = cut(verify(tried, docs, threshold), "nd-links")
     # the rows of a repeated id may stand in several classes
     several = full.select("doc_id", "h1", "h2").distinct().groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1")
@@ -306,14 +404,21 @@ def link(docs: DataFrame, *, threshold: int = THRESHOLD) -> tuple[DataFrame, Dat
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     placed = placed.join(mixed.select("key"), "key")
     main = placed.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top")).select("key", F.col("top.comp").alias("main"))
-    placed = cut(placed.join(main, "key").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")), "nd-mixed", "none")
+    placed = cut(placed.join(main, "key").withColumn("blocks", F.ceil(F.col("c") / WIDE).cast("int")), "nd-mixed", "none")
     if placed.limit(1).count():
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         text = docs.select(F.col("doc_id").cast("long").alias("node"), "text").hint("merge")
-        whole = cut(placed.select("node").distinct().join(text, "node").join(sig.select("node", "keys", "planes"), "node"), "nd-whole")
+        whole = cut(placed.select("node").distinct().join(text, "node"), "nd-whole")
+        prints = arrow_map(whole, _fine, "node long, n long, fine array<long>").join(sig.select("node", "keys"), "node")
+        prints = cut(prints.select("node", "n", "keys", "fine"), "nd-fine", "none")
         other = F.col("comp") == F.col("main")
         held = placed.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "comp", other.alias("is_main"))
         asked = placed.filter(~other).select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "comp", F.lit(False).alias("is_main"))
-        rows = held.unionByName(asked).join(whole, "node").select("key", "block", "role", "node", "comp", "is_main", "keys", "planes", "text")
+        rows = held.unionByName(asked).join(prints, "node").select("key", "block", "role", "node", "comp", "is_main", "n", "keys", "fine")
+        rows = rows.repartition(n, "key", "block").sortWithinPartitions("key", "block", "role")
+        close = cut(arrow_map(rows, _near(threshold), "key long, block int, part int, role int, node long, comp long, is_main boolean"), "nd-close")
+        rows = close.withColumn("block", F.struct("block", "part")).join(whole, "node").join(sig.select("node", "keys", "planes"), "node")
+        rows = rows.select("key", F.xxhash64("block").alias("block"), "role", "node", "comp", "is_main", "keys", "planes", "text")
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartition(n, "key", "block").sortWithinPartitions("key", "block", "role")
         more = cut(arrow_map(rows, _cross(threshold), "a long, b long"), "nd-more")

@@ -10,7 +10,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 import pytest
-from test_operators import docs
+from test_operators import brute_components, docs
 
 from stratalake.llm import common, decontam, license, neardup, packing, tiff, warc
 
@@ -190,3 +190,62 @@ def test_archives_of_copies_and_odd_urls(spark):
     got = [(x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in warc.report(pages).collect()]
     key = lambda x: tuple((v is not None, v) for v in x)
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+# ------------------------------------------------------------------ 3
+def family(n, changed, length=120, seed=6, first=0):
+    r = random.Random(seed)
+    base, rows = [f"b{k}" for k in range(length)], []
+    for i in range(n):
+        w = list(base)
+        for at in r.sample(range(length), changed):
+            w[at] = f"e{i}-{at}"
+        rows.append((first + i, " ".join(w)))
+    return rows
+
+
+def test_sketch_of_one_bit():
+    a = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64))
+    for share in (100, 300, 450):
+        b = np.concatenate([a[:share], np.unique(np.random.default_rng(2).integers(0, 1 << 63, 500 - share, dtype=np.uint64))])
+        assert abs(neardup.fine_estimates(neardup.fine(a), neardup.fine(b)[None])[0] - share / (1000 - share)) < 0.07
+    assert neardup.fine_floor(85) > 0.76
+
+
+def test_similar_texts_under_the_threshold_send_no_text(spark, monkeypatch):
+    """A hot family of similarity about 0.67 has no links; its texts stay where they are. Near ones are still found in it."""
+    sent = []
+    whole = neardup.cut
+
+    def seen(df, name, *a):
+        out = whole(df, name, *a)
+        if name == "nd-close":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "cut", seen)
+    rows = family(400, 6)
+    got = {x.doc_id: x.component_id for x in neardup.groups(docs(spark, rows)).collect()}
+    assert got == {i: i for i, _ in rows} and sum(sent) < 40
+    w = rows[17][1].split()
+    rows += [(1000, " ".join([*w[:60], "x", *w[61:]])), (1001, " ".join([*w[:90], "y", *w[91:]]))]
+    monkeypatch.setattr(neardup, "WIDE", 64)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    got = {x.doc_id: x.component_id for x in neardup.groups(docs(spark, rows)).collect()}
+    assert got == {i: (17 if i >= 1000 else i) for i, _ in rows}
+
+
+def test_links_across_the_components_of_a_bucket(spark, monkeypatch):
+    """Chains of changed copies: links that no leader has, with small blocks, against brute force."""
+    monkeypatch.setattr(neardup, "WIDE", 32)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    r, rows = random.Random(9), []
+    for c in range(4):
+        w = [f"c{c}-{k}" for k in range(100)]
+        for i in range(40):
+            w = list(w)
+            w[r.randrange(100)] = f"z{c}-{i}"
+            rows.append((c * 100 + i, " ".join(w)))
+    r.shuffle(rows)
+    want = brute_components(rows)
+    assert {x.doc_id: x.component_id for x in neardup.groups(docs(spark, rows)).collect()} == {i: c for i, (_, c) in want.items()}
