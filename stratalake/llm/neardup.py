@@ -55,7 +55,7 @@ BANDS, ROWS, BITS, LANES = 32, 6, 4, 64
 PERMS = BANDS * ROWS
 WORDS64 = PERMS // LANES
 SIGMAS = 6.0
-GROUP, SPLIT = 64, 1024
+GROUP, SPLIT = 64, 256
 BLOCK, WIDE = 512, 8192
 FINE = 3072
 """Lanes of the one-bit sketch: a standard deviation of 0.01 at the threshold."""
@@ -379,12 +379,16 @@ def link(docs: DataFrame, *, threshold: int = THRESHOLD) -> tuple[DataFrame, Dat
     reps = full.join(classes.select("h1", "h2", F.col("node").alias("doc_id")), ["doc_id", "h1", "h2"]).dropDuplicates(["doc_id", "h1", "h2"])
     sig = cut(reps.select(F.col("doc_id").alias("node"), "n", "planes", "keys"), "nd-sig", "none")
     rows = sig.select("node", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    # written, so that the join reads both sides straight from a shuffle and can split a hot key
+    shared = cut(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "nd-shared", "none")
     member = cut(rows.join(shared, "key"), "nd-member", "none")
     score = member.groupBy("node").agg(F.sum("c").alias("score"))
     ranked = member.join(score, "node")
     leader = ranked.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("a"))
-    star = member.join(leader, "key").filter("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.max("c").alias("c"))
+    # a large bucket meets its leader in parts
+    member = member.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / SPLIT)))
+    leader = member.select("key", "part").distinct().join(leader, "key")
+    star = member.join(leader, ["key", "part"]).filter("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.max("c").alias("c"))
     star = cut(star.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / SPLIT))), "nd-stars", "none")
     planes = sig.select("node", "n", "planes")
     left = planes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("planes").alias("ap"))
@@ -400,10 +404,9 @@ def link(docs: DataFrame, *, threshold: int = THRESHOLD) -> tuple[DataFrame, Dat
     comps = cut(components(links), "nd-comps")
 
     # members of one bucket in different components
-    placed = member.filter("c > 2").join(comps, "node", "left").select("key", "node", "c", F.coalesce("component", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    placed = placed.join(mixed.select("key"), "key")
-    main = placed.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top")).select("key", F.col("top.comp").alias("main"))
+    placed = member.drop("part").filter("c > 2").join(comps, "node", "left").select("key", "node", "c", F.coalesce("component", "node").alias("comp"))
+    main = placed.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
+    main = cut(main.filter("comps > 1").select("key", F.col("top.comp").alias("main")), "nd-main", "none")
     placed = cut(placed.join(main, "key").withColumn("blocks", F.ceil(F.col("c") / WIDE).cast("int")), "nd-mixed", "none")
     if placed.limit(1).count():
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
