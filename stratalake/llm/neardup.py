@@ -56,7 +56,7 @@ PERMS = BANDS * ROWS
 WORDS64 = PERMS // LANES
 SIGMAS = 6.0
 GROUP, SPLIT = 64, 256
-BLOCK, WIDE = 512, 8192
+BLOCK, WIDE = 512, 2048
 FINE = 3072
 """Lanes of the one-bit sketch: a standard deviation of 0.01 at the threshold."""
 
@@ -406,8 +406,9 @@ def link(docs: DataFrame, *, threshold: int = THRESHOLD) -> tuple[DataFrame, Dat
     # members of one bucket in different components
     placed = member.drop("part").filter("c > 2").join(comps, "node", "left").select("key", "node", "c", F.coalesce("component", "node").alias("comp"))
     main = placed.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
-    main = cut(main.filter("comps > 1").select("key", F.col("top.comp").alias("main")), "nd-main", "none")
-    placed = cut(placed.join(main, "key").withColumn("blocks", F.ceil(F.col("c") / WIDE).cast("int")), "nd-mixed", "none")
+    main = cut(main.filter("comps > 1").select("key", F.col("top.comp").alias("main"), F.col("top.k").alias("k")), "nd-main", "none")
+    turns = F.ceil((F.col("c") - F.col("k")) / WIDE).cast("int")
+    placed = cut(placed.join(main, "key").withColumn("blocks", F.ceil(F.col("c") / WIDE).cast("int")).withColumn("turns", turns).drop("k"), "nd-mixed", "none")
     if placed.limit(1).count():
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         text = docs.select(F.col("doc_id").cast("long").alias("node"), "text").hint("merge")
@@ -415,8 +416,10 @@ def link(docs: DataFrame, *, threshold: int = THRESHOLD) -> tuple[DataFrame, Dat
         prints = arrow_map(whole, _fine, "node long, n long, fine array<long>").join(sig.select("node", "keys"), "node")
         prints = cut(prints.select("node", "n", "keys", "fine"), "nd-fine", "none")
         other = F.col("comp") == F.col("main")
-        held = placed.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "comp", other.alias("is_main"))
-        asked = placed.filter(~other).select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "comp", F.lit(False).alias("is_main"))
+        # every block of members meets every block of queries
+        block, turn = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns")).cast("int")
+        held = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("t")).select("key", (block * F.col("turns") + F.col("t")).alias("block"), F.lit(0).alias("role"), "node", "comp", other.alias("is_main"))
+        asked = placed.filter(~other).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t")).select("key", (F.col("t") * F.col("turns") + turn).alias("block"), F.lit(1).alias("role"), "node", "comp", F.lit(False).alias("is_main"))
         rows = held.unionByName(asked).join(prints, "node").select("key", "block", "role", "node", "comp", "is_main", "n", "keys", "fine")
         rows = rows.repartition(n, "key", "block").sortWithinPartitions("key", "block", "role")
         close = cut(arrow_map(rows, _near(threshold), "key long, block int, part int, role int, node long, comp long, is_main boolean"), "nd-close")
