@@ -1,19 +1,25 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the mean of learned vectors of its hashed words, of their hashed
-character n-grams and of the word pair feature "same word again"; two softmax outputs
-on that mean are trained by numpy stochastic gradient descent. Since the outputs are
-linear in the mean, each feature's vector is projected on the difference of the two
-outputs once after training, and scoring is a lookup and a mean over whole texts.
-
-Fitting uses at most `sample` labelled documents (the documented bound), those with
-the smallest hash of doc_id among labelled rows outside the held-out fold; everything
-else sees all rows. Labels, lang, source and doc_id are never inputs of a score.
+character n-grams, of hashed pairs of neighbouring words, and of the recency of each
+word (how many words ago the same word stood last, in powers of two) and of pairs of
+neighbouring recencies, which tell repeated words, phrases and lines whatever they say.
+Two softmax outputs on that mean are trained by numpy stochastic gradient descent. Since
+the outputs are linear in the mean, each feature's vector is projected on the difference
+of the two outputs once after training, and scoring is a lookup and a mean over whole
+texts.
+
+Fitting uses at most `sample` labelled documents of at most `sample_bytes` of text in
+all (the documented bounds), those with the smallest hash of doc_id among labelled rows
+outside the held-out fold; everything else sees all rows. Labels, lang, source and
+doc_id are never inputs of a score.
 
 Defined results: a text without words, or null, scores as the mean zero vector (the
-bias alone); a document labelled twice is used with both labels; null labels and null
-ids are not learned from; without any labelled row every score is the prior 0.5;
-extra columns are not read.
+bias alone); a document labelled twice is used with both labels, and of the texts of a
+repeated doc_id the least is learned from; null labels and null ids are not learned
+from; without any labelled row every score is the prior 0.5; a score of just the cut is
+kept; an empty table gives no row; texts over a megabyte are read in pieces that end at
+a blank, where word pairs and recencies start anew; extra columns are not read.
 
 Scale: the sample's ids are the only broadcast (bounded by `sample`), features of the
 sampled documents are counted on the executors, and scoring is a map without shuffle.
@@ -22,16 +28,18 @@ sampled documents are counted on the executors, and scoring is a map without shu
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalake.llm.common import SPACE, U64, arrow_map, chunks, utf8, word_table
+from stratalake.llm.common import BLOCK, SPACE, U64, arrow_map, chunks, cut, mix, utf8, word_table
 
 DIM, EPOCHS, RATE, SAMPLE, SEED = 8, 8, 0.35, 4000, 17
+SAMPLE_BYTES = 64 << 20
 CUT = 0.7
 
 
@@ -42,16 +50,21 @@ _MARK[SPACE] = 32
 def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(features, features per row) of whole texts, row after row.
 
-    Words and their character n-grams (2 to 4 bytes, a blank marking each end of a
-    word, none across words) are numbered by kind; the number 0 stands for a word that
-    repeats the one before it, weighted by AGAIN_WEIGHT copies.
+    Words, their character n-grams (2 to 4 bytes, a blank marking each end of a word,
+    none across words), pairs of words, recencies and pairs of these, numbered by kind.
     """
     starts, lens, h, counts = word_table(data, off, lower=False)
     rows = np.repeat(np.arange(len(counts)), counts)
-    parts, owners = [(h % U64(WORDS - 1)).astype(np.int32) + 1], [rows]
-    again = np.flatnonzero((h[1:] == h[:-1]) & (rows[1:] == rows[:-1])) if len(h) else np.zeros(0, np.int64)
-    parts.append(np.zeros(len(again) * AGAIN_WEIGHT, np.int32))
-    owners.append(np.repeat(rows[again + 1], AGAIN_WEIGHT))
+    parts, owners = [(h % U64(WORDS)).astype(np.int32)], [rows]
+    beside = np.flatnonzero(rows[1:] == rows[:-1]) if len(h) else np.zeros(0, np.int64)
+    parts.append((mix(h[beside] * U64(0x9E3779B97F4A7C15) + h[beside + 1]) % U64(PAIRS)).astype(np.int32) + 4 * WORDS)
+    owners.append(rows[beside])
+    order = np.argsort(h, kind="stable")
+    same = np.flatnonzero((h[order[1:]] == h[order[:-1]]) & (rows[order[1:]] == rows[order[:-1]]))
+    last = np.zeros(len(h), np.int32)
+    last[order[same + 1]] = 1 + np.minimum(np.log2(order[same + 1] - order[same]), 14).astype(np.int32)
+    parts += [last + (4 * WORDS + PAIRS), 16 + 16 * last[beside] + last[beside + 1] + (4 * WORDS + PAIRS)]
+    owners += [rows, rows[beside]]
     # words side by side, one blank between them
     size = int(lens.sum()) + len(lens) + 1
     text = np.full(size, 32, np.uint32)
@@ -86,11 +99,24 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return parts, owners
 
 
-WORDS = 1 << 16
-BUCKETS = 4 * WORDS
+WORDS, PAIRS = 1 << 16, 1 << 17
+BUCKETS = 4 * WORDS + PAIRS + 16 * 17
 _GRAM = {(2, 0): np.uint32(256), (2, 1): np.uint32(1)} | {(n, j): np.uint32(0x9E3779B1 * (2 * j + 1) + 0x85EBCA6B * n & 0xFFFFFFFF | 1) for n in (3, 4) for j in range(n)}
-AGAIN_WEIGHT = 20
-"""The pair feature counts as about as much as a word with its n-grams."""
+
+
+def pieces(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, offsets) of rows that are handled together: about a megabyte, a longer row in pieces that end at a blank."""
+    for i, j in chunks(off):
+        if off[j] - off[i] <= 2 * BLOCK:
+            yield i, off[i : j + 1]
+            continue
+        at = int(off[i])
+        while at < off[j]:
+            to = min(at + BLOCK, int(off[j]))
+            while to < off[j] and not SPACE[data[to]]:
+                to += 1
+            yield i, np.array([at, to])
+            at = to
 
 
 def fold(col: str, parts: int):
@@ -101,13 +127,13 @@ def fold(col: str, parts: int):
 def _count(batches):
     for b in batches:
         data, off = utf8(b.column(0))
-        for i, j in chunks(off):
-            ids, counts = [], []
-            for k in range(i, j):
-                u, c = np.unique(np.concatenate(features(data, off[k : k + 2])[0]), return_counts=True)
-                ids.append(u.astype(np.int32))
-                counts.append(c.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), b.column(1).slice(i, j - i)], ["ids", "counts", "y"])
+        ids, counts = [], []
+        for k in range(b.num_rows):
+            found = [f for _, o in pieces(data, off[k : k + 2]) for f in features(data, o)[0]]
+            u, c = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
+            ids.append(u.astype(np.int32))
+            counts.append(c.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), b.column(1)], ["ids", "counts", "y"])
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
@@ -137,11 +163,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, f
     return (emb @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", parts: int = 4, held: int = 2, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", parts: int = 4, held: int = 2, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
     ids = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", parts) != held))
-    ids = ids.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(sample)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("text", "y", "doc_id")
-    feats = arrow_map(chosen.select("text", F.struct("y", F.xxhash64("doc_id").alias("h")).alias("k")).select("text", F.to_json("k").alias("k")), _count, "ids array<int>, counts array<int>, y string")
+    ids = ids.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).distinct().orderBy(F.xxhash64("id"), "id", "y").limit(sample)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+    chosen = cut(chosen.groupBy("id", "y").agg(F.min("text").alias("text")), "quality-sample")
+    # at most `sample` rows, so one task may number them
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy(F.xxhash64("id"), "id", "y").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = chosen.withColumn("size", size).filter(F.col("size") <= sample_bytes)
+    feats = arrow_map(chosen.select("text", F.to_json(F.struct("y", F.xxhash64("id").alias("h"))).alias("k")), _count, "ids array<int>, counts array<int>, y string")
     rows = []
     for r in feats.toArrow().to_batches():
         for i in range(r.num_rows):
@@ -157,10 +187,12 @@ def scores(data: np.ndarray, off: np.ndarray, model: tuple[np.ndarray, float]) -
     weights, bias = model
     n = len(off) - 1
     total, size = np.zeros(n), np.zeros(n)
-    for f, rows in zip(*features(data, off), strict=True):
-        if len(f):
-            total += np.bincount(rows, weights.take(f), n)
-            size += np.bincount(rows, minlength=n)
+    for i, some in pieces(data, off):
+        m = len(some) - 1
+        for f, rows in zip(*features(data, some), strict=True):
+            if len(f):
+                total[i : i + m] += np.bincount(rows, weights.take(f), m)
+                size[i : i + m] += np.bincount(rows, minlength=m)
     return 1 / (1 + np.exp(-(bias + total / np.maximum(size, 1))))
 
 
@@ -173,7 +205,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *, keep: list[str],
         model = shared.value
         for b in batches:
             data, off = utf8(b.column(0))
-            got = np.concatenate([scores(data, off[i : j + 1], model) for i, j in chunks(off)] or [np.zeros(0)])
+            got = scores(data, off, model)
             cols = [b.column(k + 1) for k in range(len(keep))]
             if at_least is None:
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(got, pa.float64())], [*keep, column])

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from test_operators import brute_components, docs
 
-from stratalake.llm import common, decontam, license, neardup, packing, tiff, warc
+from stratalake.llm import common, decontam, license, neardup, packing, quality, tiff, warc
 
 pytest.importorskip("ahocorasick")
 
@@ -249,3 +249,45 @@ def test_links_across_the_components_of_a_bucket(spark, monkeypatch):
     r.shuffle(rows)
     want = brute_components(rows)
     assert {x.doc_id: x.component_id for x in neardup.groups(docs(spark, rows)).collect()} == {i: c for i, (_, c) in want.items()}
+
+
+# ------------------------------------------------------------------ 8
+def brute_features(text):
+    """Counts of a text's features, by plain loops."""
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode()) if w]
+    h = [int(common.word_table(*common.utf8(pa.array([w.decode()])), lower=False)[2][0]) for w in words]
+    out, last = [x % quality.WORDS for x in h], []
+    for k, x in enumerate(h):
+        back = next((g for g in range(1, k + 1) if h[k - g] == x), 0)
+        last.append(1 + min(14, back.bit_length() - 1) if back else 0)
+    base = 4 * quality.WORDS + quality.PAIRS
+    out += [base + x for x in last] + [base + 16 + 16 * x + y for x, y in zip(last, last[1:], strict=False)]
+    with np.errstate(over="ignore"):
+        out += [4 * quality.WORDS + int(common.mix(np.array([x], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(y))[0] % np.uint64(quality.PAIRS)) for x, y in zip(h, h[1:], strict=False)]
+    return sorted(out)
+
+
+def test_quality_features_against_loops():
+    texts = ["a b a b a b", "", "x x x x y", "one", "é ü é\nü é", "a b c d e f g h a b c d e f g h"]
+    data, off = common.utf8(pa.array(texts))
+    parts, owners = quality.features(data, off)
+    f, o = np.concatenate(parts), np.concatenate(owners)
+    grams = (f >= quality.WORDS) & (f < 4 * quality.WORDS)
+    for k, t in enumerate(texts):
+        assert sorted(f[(o == k) & ~grams].tolist()) == brute_features(t)
+
+
+def test_quality_scores_of_long_texts_and_bounds(spark):
+    weights = np.random.default_rng(3).normal(size=quality.BUCKETS).astype(np.float32)
+    texts = ["word " * 700_000, "short one", "x" * 3_000_000, ""]
+    data, off = common.utf8(pa.array(texts))
+    got = quality.scores(data, off, (weights, 0.1))
+    for k, t in enumerate(texts):
+        alone = quality.scores(*common.utf8(pa.array([t])), (weights, 0.1))
+        assert got[k] == pytest.approx(alone[0])
+    assert got[3] == pytest.approx(1 / (1 + np.exp(-0.1)))
+    d = docs(spark, [(i, f"good words number {i}" if i % 2 else "bad bad bad bad") for i in range(40)] * 2)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    assert [r.predicted for r in quality.report(d, labels).collect()] == [r.doc_id % 2 for r in d.collect()]
+    assert quality.fit(d, labels, sample_bytes=10)[1] == 0.0
+    assert quality.report(docs(spark, []), labels).count() == 0
