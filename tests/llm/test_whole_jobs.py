@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from test_operators import brute_components, docs
 
-from stratalake.llm import common, decontam, license, neardup, packing, quality, tiff, warc
+from stratalake.llm import common, decontam, license, neardup, packing, quality, tiff, urlfilter, warc
 
 pytest.importorskip("ahocorasick")
 
@@ -291,3 +291,60 @@ def test_quality_scores_of_long_texts_and_bounds(spark):
     assert [r.predicted for r in quality.report(d, labels).collect()] == [r.doc_id % 2 for r in d.collect()]
     assert quality.fit(d, labels, sample_bytes=10)[1] == 0.0
     assert quality.report(docs(spark, []), labels).count() == 0
+
+
+# ------------------------------------------------------------------ 4
+def brute_rule(url, rules):
+    """(host, path, rule, verdict or None) by trying every rule."""
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fit = [(len(h + p), v == "block", h + p, v) for v, h, p in rules if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fit)[2:] if fit else (None, None)))
+
+
+@pytest.mark.parametrize("most", [urlfilter.MAX_RULES, 7])
+def test_url_rules_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(urlfilter, "MAX_RULES", most)
+    r = random.Random(3)
+    hosts = ["com", "a.com", "b.a.com", "org", "x.org", "É.org", "a.co"]
+    rules = [(r.choice(["allow", "block"]), r.choice(hosts), r.choice(["", "/", "/e", "/en/", "/en/7"])) for _ in range(60)]
+    urls = [f"{r.choice(['http', 'HTTPS', ''])}://{r.choice(['', 'www.', 'B.', 'z.b.'])}{r.choice([*hosts, 'A.COM', 'acom'])}{r.choice(['', '/', '/en/78', '/en/7?x=/en/', '#/en/', '?q=://a.com/en/', '/E'])}" for _ in range(400)]
+    urls += [None, "", "no host", "://", "a://b://c/d", "x:///en/", "http://com\n/en/7", "http://a.com/" + "e" * 200_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame([*rules, (None, "com", "/"), ("block", None, "/"), ("block", "com", None)], "verdict string, host string, path string")
+    for given in (rules, table):
+        got = {x.page_id: x for x in urlfilter.judge(pages, rules=given).collect()}
+        for i, u in enumerate(urls):
+            host, path, rule, verdict = brute_rule(u, rules)
+            assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule), u
+            assert got[i].verdict == (verdict or ("block" if got[i].score >= urlfilter.CUT else "allow"))
+    assert urlfilter.judge(spark.createDataFrame([], pages.schema)).count() == 0
+
+
+def test_url_model_on_other_hosts():
+    """Trained on one draw, held against another: hosts that were never seen, and words that were never seen."""
+    def rates(model, rows):
+        said = [urlfilter.probability(model, *urlfilter.split_url(u)) >= urlfilter.CUT for u, _ in rows]
+        hit = sum(s and y for s, (_, y) in zip(said, rows, strict=True))
+        return hit / max(1, sum(said)), hit / sum(y for _, y in rows)
+
+    model = urlfilter.train(urlfilter.labelled())
+    seen = {urlfilter.split_url(u)[0] for u, _ in urlfilter.labelled()}
+    other = [x for x in urlfilter.labelled(3000, seed=99) if urlfilter.split_url(x[0])[0] not in seen]
+    precision, recall = rates(model, other)
+    assert precision > 0.95 and recall > 0.9
+    r = random.Random(1)
+    plain = [(f"http://m.{''.join(r.choices('bcdfglmnprst', k=1))}{''.join(r.choices(['an', 'el', 'or', 'ith', 'en', 'ou'], k=3))}.example.net/en/{k}", 0) for k in range(500)]
+    assert sum(urlfilter.probability(model, *urlfilter.split_url(u)) >= urlfilter.CUT for u, _ in plain) < 10
+
+
+def test_url_table_is_an_input(spark):
+    table = spark.createDataFrame([("http://zebra.com/", 1), ("http://zebra.org/a", 1), ("http://lion.com/", 0), ("http://tiger.net/", 0), (None, 1), ("http://x", None)], "url string, label int")
+    pages = spark.createDataFrame([(1, "http://www.zebra.de/"), (2, "http://lion.de/")], "page_id long, url string")
+    got = {x.page_id: x.verdict for x in urlfilter.judge(pages, table=table).collect()}
+    assert got == {1: "block", 2: "allow"}
+    assert [x.score for x in urlfilter.judge(pages, table=table.limit(0)).collect()] == [0.5, 0.5]
