@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from test_operators import brute_components, docs
 
-from stratalake.llm import common, decontam, license, neardup, packing, quality, tiff, urlfilter, warc
+from stratalake.llm import common, decontam, license, neardup, packing, pii, quality, tiff, urlfilter, warc
 
 pytest.importorskip("ahocorasick")
 
@@ -348,3 +348,67 @@ def test_url_table_is_an_input(spark):
     got = {x.page_id: x.verdict for x in urlfilter.judge(pages, table=table).collect()}
     assert got == {1: "block", 2: "allow"}
     assert [x.score for x in urlfilter.judge(pages, table=table.limit(0)).collect()] == [0.5, 0.5]
+
+
+# ------------------------------------------------------------------ 2
+FOUND = [
+    ("Mr Smith", "name"), ("John Smith", "name"), ("MR JOHN SMITH", "name"), ("James O'Brien", "name"), ("Mary Smith-Jones", "name"), ("Prof. Angela van der Berg", "name"), ("John F. Kennedy", "name"), ("Анна Петрова", "name"),
+    ("Νίκος Παπαδόπουλος", "name"), ("+15551234567", "phone"), ("555.123.4567", "phone"), ("020 7946 0958", "phone"), ("3782 822463 10005", "card"), ("378282246310005", "card"), ("GB82 WEST 1234 5698 7654 32", "iban"), ("DE89370400440532013000", "iban"),
+    ("fe80::1ff:fe23:4567:890a", "ipv6"), ("2001:0DB8:85A3:0000:0000:8A2E:0370:7334", "ipv6"), ("221 Baker Street", "address"), ("Hauptstraße 12", "address"), ("élodie.x@foo.fr", "email"),
+]
+
+
+@pytest.mark.parametrize(("mention", "kind"), FOUND)
+def test_each_kind_is_found_whole_and_keeps_its_form(mention, kind):
+    text = f"see {mention}, there"
+    new, spans = pii.replace(text, pii.KEY, {}, {})
+    assert [k for k, _, _ in spans] == [kind]
+    got = new[spans[0][1] : spans[0][2]]
+    assert new == f"see {got}, there" and got != mention
+    if kind in ("phone", "card", "iban"):
+        assert re.sub(r"\d", "0", re.sub("[A-Z]", "A", got)) == re.sub(r"\d", "0", re.sub("[A-Z]", "A", mention))
+    if kind == "iban":
+        assert pii._iban(got) and got[:2] == mention[:2]
+    if kind == "name":
+        assert got.isupper() == mention.isupper() and pii.script(got) == pii.script(mention)
+        assert [len(w) for w in got.split() if w in pii.PARTICLES] == [len(w) for w in mention.split() if w in pii.PARTICLES]
+
+
+def test_what_is_no_entity():
+    for t in ("Μαρία και κάτι", "Anna śpi", "Laura šla domov", "at 10:30:15 we met", "The Great Wall", "GB83 WEST 1234 5698 7654 32", "version 1.2.3", "x::y", "Secret garden"):
+        assert pii.replace(t, pii.KEY, {}, {}) == (t, []), t
+
+
+def test_names_stay_coreferent_and_distinct(spark):
+    """A family word has one surrogate in all mentions, also where its first one collided; given names never stay."""
+    families = sorted({f"{a}{b}{c}" for a in "ABCDEFGHIJ" for b in ("al", "er", "on", "ig") for c in ("ka", "mi", "so", "tt", "un", "ve", "xo", "ya", "zz", "bu", "cy", "da", "fe", "gi", "ho")})
+    rows = [(i, f"Mr {f} and John {f}; MARY {f.upper()}") for i, f in enumerate(families)]
+    rows += [(5000, "Мария Иванова, Иван Иванов"), (5001, None), (5002, ""), (5003, "word " * 200_000 + "John " + families[0])]
+    given = set()
+    for block in (pii.BLOCK, 3):
+        got = {r.doc_id: r.text for r in pii.rewrite(docs(spark, rows), block=block).collect()}
+        seen = set()
+        for i, f in enumerate(families):
+            a, b, c = re.fullmatch(r"Mr (\w+) and (\w+ \w+); (\w+ \w+)", got[i]).groups()
+            assert b.split()[1] == a and c.split()[1] == a.upper() and a not in families
+            given |= {b.split()[0], c.split()[0]}
+            seen.add(a)
+        assert len(seen) == len(families)
+        maria, ivan = got[5000].split(", ")
+        assert maria.split()[1] == ivan.split()[1] + "а" and maria.split()[0] != "Мария" and ivan.split()[0] != "Иван"
+        assert got[5001] is None and got[5002] == "" and got[5003].endswith(got[0].split(" and ")[1].split(";")[0].split()[1])
+    assert len(given) == 2 and not given & {"John", "MARY"}
+    assert pii.rewrite(docs(spark, [])).count() == 0
+
+
+def test_numbers_against_brute_force():
+    """Every replaced number is the surrogate of its digits, and different numbers stay different."""
+    phones = [f"555-{k:03d}-{k * 37 % 10000:04d}" for k in range(1000)]
+    new = pii.replace(" ; ".join(phones), pii.KEY, {}, {})[0].split(" ; ")
+    assert len(set(new)) == 1000 and all(re.fullmatch(r"\d{3}-\d{3}-\d{4}", x) for x in new)
+    assert [x.replace("-", "") for x in new] == [pii.surrogate(pii.KEY, "phone", p.replace("-", "")) for p in phones]
+
+
+def test_another_lexicon(spark):
+    got = pii.rewrite(docs(spark, [(1, "Zorblax Quux met John Smith")]), names={("m", "latin"): ["Zorblax", "Grunk"]}).collect()[0].text
+    assert re.fullmatch(r"Grunk \w+ met John Smith", got)
