@@ -8,6 +8,8 @@ from pathlib import Path
 
 import yaml
 
+from stratalake.sources import files
+
 
 class ConfigError(Exception):
     exit_code = 64
@@ -46,8 +48,12 @@ class Config:
     def validate(self) -> Config:
         if not 512 <= int(self.tdsPacketSize) <= 32767:
             raise ConfigError("tdsPacketSize is outside 512..32767")
+        self.layers = [files.plain(x) for x in self.layers]
+        for name in ("base", "write", "store", "dacpac", "cache"):
+            if p := getattr(self, name):
+                setattr(self, name, files.plain(p))
         for layer in self.layers:
-            if not os.path.isdir(layer):
+            if not files.is_dir(layer):
                 raise ConfigError(f"layer {layer} is not a directory")
         for name in ("dacpac", "base"):
             if (p := getattr(self, name)) and not os.path.exists(p):
@@ -90,7 +96,7 @@ def load(path: str | None = None, env: dict[str, str] | None = None, defaults: l
                 if isinstance(data.get(k), str):
                     data[k] = str(base / data[k])
             if "layers" in data:
-                data["layers"] = [str(base / x) for x in data["layers"]]
+                data["layers"] = [x if "://" in x else str(base / x) for x in data["layers"]]
         merged.update(data)
 
     for p in defaults:

@@ -23,6 +23,7 @@ from stratalake.plans.config import Config
 from stratalake.plans.tsql.lexer import TSqlError
 from stratalake.plans.tsql.parser import Parser
 from stratalake.plans.tsql.render import Context, Renderer
+from stratalake.sources import files
 from stratalake.sources import layers as L
 from stratalake.sources.schema import Declared, Reference, Schema, read_package
 
@@ -93,7 +94,7 @@ class Lake:
             self.given = self.given or _schema_from(manifest)
         package = c.dacpac
         if not package:
-            found = [str(p) for layer in c.layers for p in sorted(Path(layer).glob("*.dacpac"))]
+            found = [f"{layer}/{n}" for layer in c.layers if not files.remote(layer) for n, folder, _, _ in files.listing(layer) if n.endswith(".dacpac") and not folder]
             if len(found) > 1:
                 raise LakeError(f"several declared schemas: {', '.join(found)}")
             package = found[0] if found else None
@@ -118,7 +119,7 @@ class Lake:
             self._resolve(t, write.get(key), len(roots))
         self._functions()
         self._views()
-        self.references = [r for r in map(self._reference, self.schema.references) if r]
+        self.references = self._acyclic([r for r in map(self._reference, self.schema.references) if r])
         if c.materialize and not c.lazy:
             for t in self.tables.values():
                 self.materialize(t)
@@ -256,6 +257,11 @@ class Lake:
         if t.key and got.groupBy(*t.key).count().filter("count > 1").limit(1).count():
             t.frozen = None
             raise LakeError(f"duplicate key in {t.name}", "23505", 2627)
+        for rule in t.declared.uniques if t.declared else []:
+            names = [*rule, *[p for p in t.partitions if p not in rule]]
+            if all(t.column(n) for n in rule) and got.dropna(subset=rule).groupBy(*names).count().filter("count > 1").limit(1).count():
+                t.frozen = None
+                raise LakeError(f"the rows of {t.name} break the UNIQUE rule ({', '.join(rule)})", "23505", 2627)
         if self.keeps:
             self.keep(t)
 
@@ -300,7 +306,7 @@ class Lake:
         return merge(branches, t.columns, t.key, defaults=self.read_defaults(t) if defaults else None)
 
     def _signature(self, t: Table) -> list:
-        return [[seq, p, os.path.getmtime(p), os.path.getsize(p)] for seq, s in t.sources for p in s.paths] + [[c.name, c.dataType.simpleString()] for c in t.columns] + [t.key]
+        return [[seq, *found] for seq, s in t.sources for p in s.paths for found in files.walk(p)] + [[c.name, c.dataType.simpleString()] for c in t.columns] + [t.key]
 
     def _cached(self, t: Table, spark: SparkSession) -> DataFrame | None:
         """The merged read layers as Parquet, named by their content; stale copies go."""
@@ -309,7 +315,9 @@ class Lake:
         name = hashlib.sha256(json.dumps(self._signature(t)).encode()).hexdigest()[:20]
         folder = f"{self.config.cache}/{t.name}"
         if not os.path.exists(f"{folder}/{name}/_SUCCESS"):
-            shutil.rmtree(folder, ignore_errors=True)
+            # a copy that readers may still hold stays until the one after next is made
+            for old in sorted((x for x in Path(folder).glob("*") if x.is_dir()), key=os.path.getmtime)[:-1]:
+                shutil.rmtree(old, ignore_errors=True)
             _write_sorted(self._plain(t), t, f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
@@ -351,17 +359,49 @@ class Lake:
         if child is None or parent is None or [k.lower() for k in r.target_columns] != [k.lower() for k in parent.key]:
             log.warning("reference %s does not point at a key; skipped", r.name)
             return None
-        if r.on_delete != "restrict" and not child.key:
-            log.warning("reference %s: %s has no key, so it refuses instead", r.name, child.name)
+        if r.on_delete != "restrict" and not (child.key and child.writable):
+            log.warning("reference %s: %s %s, so it refuses instead", r.name, child.name, "is read-only" if child.key else "has no key")
             return replace(r, on_delete="restrict")
         if r.on_delete in ("null", "default") and {c.lower() for c in r.columns} & {k.lower() for k in child.key}:
             log.warning("reference %s would change a key, so it refuses instead", r.name)
             return replace(r, on_delete="restrict")
         return r
 
+    def _acyclic(self, references: list[Reference]) -> list[Reference]:
+        """References whose cascade would come back to its own table refuse instead."""
+        down: dict[str, set[str]] = {}
+        for r in references:
+            if r.on_delete == "cascade":
+                down.setdefault(r.target.lower(), set()).add(r.table.lower())
+
+        def reaches(a: str, b: str) -> bool:
+            seen, todo = set(), [a]
+            while todo:
+                x = todo.pop()
+                if x == b:
+                    return True
+                if x not in seen:
+                    seen.add(x)
+                    todo += down.get(x, ())
+            return False
+
+        out = []
+        for r in references:
+            if r.on_delete == "cascade" and reaches(r.table.lower(), r.target.lower()):
+                log.warning("reference %s is part of a cycle, so it refuses instead", r.name)
+                r = replace(r, on_delete="restrict")
+            out.append(r)
+        return out
+
     # ---- facts
     def describe(self) -> list[str]:
-        return [f"{t.name} <- {', '.join(p for _, s in t.sources for p in s.paths)} ({len(t.columns)} columns: {', '.join(c.name for c in t.columns)})" for t in self.tables.values()]
+        """A line for each table; rows are counted of seed files only."""
+        out = []
+        for t in self.tables.values():
+            seeds = [L._loaded(p, t.key[0] if len(t.key) == 1 else None)[0] for _, s in t.sources if s.format != "parquet" for p in s.paths]
+            rows = f"{sum(map(len, seeds))} rows, " if seeds and all(s.format != "parquet" for _, s in t.sources) else ""
+            out.append(f"{t.name} <- {', '.join(p for _, s in t.sources for p in s.paths)} ({rows}{len(t.columns)} columns: {', '.join(c.name for c in t.columns)})")
+        return out
 
     def constraints(self) -> list[tuple[str, str, list[str]]]:
         out = [(t.name, "primary key", t.key) for t in self.tables.values() if t.key]
@@ -374,16 +414,26 @@ class Lake:
 
         return Session(self, user, variables)
 
-    def persist(self, t: Table) -> None:
-        """Writes the table's own rows and tombstones as one more layer file each; an empty table has no file."""
+    def persist(self, t: Table, delta: bool = False) -> None:
+        """Writes the table's own rows and tombstones as one more layer file each; an empty table has no file.
+
+        With delta, rows that the layers hold as they are, and tombstones of keys that they lack, are left out.
+        """
         c = self.config
         if not c.write:
             return
         kind = t.format or c.writeFormat
         for path, version, columns, key in ((f"{c.write}/{t.name}.{kind}", t.writes.rows, None, t.keyed_by if kind != "parquet" else None), (f"{c.write}/.deleted/{t.name}.{kind}", t.writes.tombs, t.key, None)):
             df = state.load(self.spark, version) if version else None
+            if df is not None and delta and t.key:
+                base = self._plain(replace(t, writes=Writes(), virtual=[], filter=None))
+                names = columns or [x.name for x in t.columns]
+                base = base.select(*[F.col(f"`{n}`").alias(f"__{i}") for i, n in enumerate(names)])
+                df = df.join(base, [F.col(f"`{n}`").eqNullSafe(F.col(f"__{i}")) for i, n in enumerate(names)], "left_semi" if columns else "left_anti")
             if df is None or not df.limit(1).count():
-                if os.path.exists(path):
+                if os.path.isdir(path):
+                    shutil.rmtree(path)
+                elif os.path.exists(path):
                     os.remove(path)
                 continue
             L.write_file(df.select(*columns) if columns else df, path, kind, key)
@@ -393,15 +443,35 @@ class Lake:
         if self.config.materialize and not self.keeps:
             for t in self.tables.values():
                 if t.version:
-                    self.persist(t)
+                    self.persist(t, delta=True)
 
     # ---- bake
+    def _own(self, t: Table) -> DataFrame:
+        """The merged rows, with defaults filled in key columns only (collapsed tables hold theirs already)."""
+        branches = self.branches(t, self.spark) or [Branch(self.spark.createDataFrame([], T.StructType(t.columns)), 0)]
+        schema = T.StructType(t.columns)
+        write = Branch(state.load(self.spark, t.writes.rows, schema), 1 << 20, True) if t.writes.rows else None
+        tombs = state.load(self.spark, t.writes.tombs) if t.writes.tombs else None
+        keys = {k.lower() for k in t.key}
+        defaults = {} if t.frozen else {c: v for c, v in self.read_defaults(t).items() if c.lower() in keys}
+        return merge(branches, t.columns, t.key, tombstones=tombs, write=write, defaults=defaults)
+
     def bake(self, target: str) -> None:
-        """The stack as one layer: a Parquet table each (partitioned as its sources are)."""
+        """The stack as one layer: a Parquet table each (partitioned as its sources are).
+
+        Declared defaults are left to whoever reads the baked layer, but for key columns.
+        """
+        target = files.plain(target)
+        if not files.remote(target) and any(Path(target).resolve().is_relative_to(Path(x).resolve()) for x in self.config.layers if not files.remote(x)):
+            raise LakeError(f"{target} lies inside a layer")
+        if files.is_dir(target):
+            strays = [n for n, _, _, _ in files.listing(target) if not n.startswith(".") and n.lower() not in self.tables]
+            if strays:
+                log.warning("%s also holds %s, which this bake does not write", target, ", ".join(strays))
         for t in self.tables.values():
             if t.filter or any("getvariable" in e.lower() for _, e in t.virtual):
                 raise LakeError(f"{t.name} depends on the session and cannot be baked")
-            df = self.frame(t.name).select(*[c.name for c in t.columns])
+            df = self._own(t).select(*[c.name for c in t.columns])
             w = df.write.mode("overwrite").option("compression", "zstd")
             (w.partitionBy(*t.partitions) if t.partitions else w).parquet(f"{target}/{t.name}")
 

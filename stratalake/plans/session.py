@@ -12,12 +12,13 @@ import math
 import re
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalake.functions import host
 from stratalake.operators import state
+from stratalake.plans import door
 from stratalake.plans.lake import Lake, LakeError, Table, Writes, _bind, repr_sql
 from stratalake.plans.tsql.lexer import TSqlError, tokens
 from stratalake.plans.tsql.parser import Node, Parser, parse
@@ -44,8 +45,8 @@ class Session:
         for k, v in (("spark.sql.timeType.enabled", "true"), ("spark.sql.parser.escapedStringLiterals", "true")):
             self.spark.conf.set(k, v)
         host.register(self.spark)
-        for sql in lake.function_sql:
-            self.spark.sql(sql)
+        for sql in [*door.SQL_FUNCTIONS, *lake.function_sql]:
+            self.q(sql)
         self.variables = {**lake.config.sessionVariables, "user": user, **(variables or {})}
         self.first = dict(self.variables)
         self.values: dict = {"@@identity": None, "@@rowcount": 0, "@@trancount": 0, "@@spid": id(self) % 32767, "@@version": "stratalake", "@@servername": "stratalake", "@@language": "us_english", "user": user}
@@ -54,8 +55,12 @@ class Session:
         self.pending: dict[str, Writes] | None = None
         self.holds_turn = False
         self.seen: dict[str, tuple] = {}
+        self.starts: dict[str, int] = {}
         self.types: dict[tuple, str | None] = {}
 
+    def q(self, sql: str, **given) -> DataFrame:
+        return self.spark.sql(door.literals(sql), **given)
+
     # ---- names
     def writes(self, t: Table) -> Writes:
         return (self.pending or {}).get(t.name.lower(), t.writes)
@@ -88,19 +93,19 @@ class Session:
     def view(self, name: str) -> None:
         shown, body = self.lake.views[name]
         self.publish(body)
-        self.spark.sql(self.renderer().query(Parser(body).query(Parser(body).ctes() if body.lstrip().upper().startswith("WITH") else []))).createOrReplaceTempView(quote(shown))
+        self.q(self.renderer().query(Parser(body).query(Parser(body).ctes() if body.lstrip().upper().startswith("WITH") else []))).createOrReplaceTempView(quote(shown))
 
     def analyzed(self, prefix: str, sql: str) -> str | None:
         k = (prefix, sql)
         if k not in self.types:
             try:
-                self.types[k] = self.spark.sql(prefix + sql).schema[0].dataType.simpleString()
+                self.types[k] = self.q(prefix + sql).schema[0].dataType.simpleString()
             except Exception:  # correlated names cannot be analyzed alone
                 self.types[k] = None
         return self.types[k]
 
     def counted(self, sql: str, value: bool = False) -> int:
-        return self.spark.sql(sql if value else f"SELECT count(*) FROM ({sql})").first()[0]
+        return self.q(sql if value else f"SELECT count(*) FROM ({sql})").first()[0]
 
     def renderer(self, params: dict | None = None) -> Renderer:
         given = {("@" + k.lstrip("@")).lower(): repr_sql(v) if not hasattr(v, "isoformat") else f"TIMESTAMP_NTZ'{v}'" for k, v in {**self.assigned, **(params or {})}.items()}
@@ -123,12 +128,17 @@ class Session:
 
     def sql(self, text: str, args: dict | None = None) -> DataFrame | None:
         """Spark SQL over the published tables; INSERT, UPDATE, DELETE and MERGE go the way of T-SQL."""
+        text, returning = door.rewrite(text)
         verb = re.match(r"\s*(?:/\*.*?\*/\s*)*([A-Za-z_]+)", text)
         verb = verb[1].upper() if verb else ""
         if verb in ("INSERT", "UPDATE", "DELETE", "MERGE", "BEGIN", "COMMIT", "ROLLBACK"):
             if verb in ("BEGIN", "COMMIT", "ROLLBACK") and not re.search(r"(?i)tran", text):
                 text = re.sub(r"(?i)^(\s*\w+).*", r"\1 TRAN", text.strip(), flags=re.S)
+            if returning:
+                return self.returning(text, returning, args)
             return self.tsql(text, args)
+        if m := re.fullmatch(r"(?is)\s*COPY\s+(.+?)\s+TO\s+'([^']+)'\s*(?:\((.*?)\))?\s*;?\s*", text):
+            return self.copy(m[1], m[2], m[3] or "", args)
         if m := re.fullmatch(r"(?is)\s*SET\s+(?:VARIABLE\s+)?(\w+)\s*(?:=|TO)\s*'?(.*?)'?\s*;?\s*", text):
             self.variables[m[1]] = m[2]
             return None
@@ -157,15 +167,38 @@ class Session:
         if m := re.fullmatch(r"(?is)\s*SUMMARIZE\s+(.*?);?\s*", text):
             self.publish(m[1])
             q = m[1] if re.match(r"(?i)\s*(select|with)\b", m[1]) else f"SELECT * FROM {m[1]}"
-            return self.spark.sql(_local_names(q, self.lake)).summary()
+            return self.q(_local_names(q, self.lake)).summary()
+        self.publish(text)
+        return self.q(_bind(_local_names(text, self.lake), self.variables), args=args)
+
+    def returning(self, text: str, columns: str, args: dict | None) -> DataFrame | None:
+        """A write with RETURNING: its OUTPUT clause, under the other name."""
+        (s,) = parse(text)
+        side = "DELETED" if s.kind == "delete" else "INSERTED"
+        t, _ = self.target(s)
+        names = [(c.name, c.name) for c in t.columns] if columns.strip() == "*" else [((x := re.split(r"(?i)\s+AS\s+", c.strip()))[0].strip('`"'), x[-1].strip('`"')) for c in columns.split(",")]
+        s.output = [Node("output", side=side, column=c.split(".")[-1], alias=a.split(".")[-1]) for c, a in names]
         self.publish(text)
-        return self.spark.sql(_bind(_local_names(text, self.lake), self.variables), args=args)
+        return self.run(s, text, args).df
+
+    def copy(self, what: str, path: str, options: str, args: dict | None) -> DataFrame:
+        """COPY query or table TO a folder, as Parquet, CSV or JSON lines; the number of rows."""
+        kind = re.search(r"(?i)FORMAT\s+'?(\w+)", options)
+        kind = kind[1].lower() if kind else path.rsplit(".", 1)[-1].lower()
+        if kind not in ("parquet", "csv", "json"):
+            raise LakeError(f"COPY TO knows parquet, csv and json, not {kind}", "0A000")
+        inner = what.strip()
+        df = self.sql(inner[1:-1] if inner.startswith("(") else f"SELECT * FROM {inner}", args)
+        seen = Observation()
+        w = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+        (w.option("header", "true") if kind == "csv" else w).format(kind).save(path)
+        return self.spark.createDataFrame([(int(seen.get["n"]),)], "Count bigint")
 
     def describe(self, text: str, params: dict | None = None) -> T.StructType:
         """The columns that a query would answer with, without running it; none for other statements."""
         self.publish(text)
         queries = [s for s in parse(text) if s.kind == "query"]
-        return self.spark.sql(self.renderer(params).query(queries[-1].query)).schema if queries else T.StructType()
+        return self.q(self.renderer(params).query(queries[-1].query)).schema if queries else T.StructType()
 
     def explain(self, text: str) -> DataFrame:
         """The steps of a statement: rendered SQL of queries, named checks and steps of writes."""
@@ -174,7 +207,7 @@ class Session:
         for s in parse(text):
             if s.kind == "query":
                 sql = self.renderer().query(s.query)
-                plan = self.spark.sql(sql)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+                plan = self.q(sql)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
                 steps += [("query", sql), ("plan", plan)]
             elif s.kind in ("insert", "update", "delete", "merge"):
                 t = self.target(s)[0]
@@ -189,13 +222,30 @@ class Session:
     # ---- statements
     def run(self, s: Node, text: str, params: dict | None) -> Result:
         handler = getattr(self, "s_" + s.kind)
-        r = handler(s, params)
-        if r.affected is not None:
-            self.values["@@rowcount"] = r.affected
         if s.kind in ("insert", "update", "delete", "merge"):
+            r = self.write(lambda: (self.publish(text), handler(s, params))[1])
             self.publish(text)
+        else:
+            r = handler(s, params)
+        if r.affected is not None:
+            self.values["@@rowcount"] = r.affected
         return r
 
+    def write(self, work):
+        """Runs a write statement. Outside a transaction no other write comes between what it reads and what it stores."""
+        alone = self.pending is None
+        if alone:
+            self.take_turn()
+            self.lake.lock.acquire()
+        try:
+            # what the statement reads is at least this new; a commit compares with it
+            self.starts = {name: t.version for name, t in self.lake.tables.items()}
+            return work()
+        finally:
+            if alone:
+                self.lake.lock.release()
+                self.give_turn()
+
     def s_query(self, s: Node, params) -> Result:
         q, body = s.query, s.query.body
         if body.kind == "select":
@@ -209,19 +259,19 @@ class Session:
                 names = [i.assign for i in assigns]
                 for k, i in enumerate(assigns):
                     i.alias, i.assign = f"v{k}", None
-                rows = self.spark.sql(self.renderer(params).query(q))
+                rows = self.q(self.renderer(params).query(q))
                 last = rows.tail(1)
                 if last:
                     self.assigned.update(zip(names, last[0], strict=True))
                 return Result()
-        return Result(self.spark.sql(self.renderer(params).query(q)))
+        return Result(self.q(self.renderer(params).query(q)))
 
     def into(self, name: str, q: Node, params) -> Result:
         if not name.startswith("#") or name.startswith("##"):
             raise TSqlError(f"SELECT INTO {name} is not supported; only temporary tables of the session")
         if name.lower() in self.temps:
             raise TSqlError(f"There is already an object named '{name}'", 2714)
-        df = self.spark.sql(self.renderer(params).query(q))
+        df = self.q(self.renderer(params).query(q))
         self.temp(name, df)
         return Result(affected=state.load(self.spark, self.temp_paths[name.lower()]).count())
 
@@ -317,15 +367,11 @@ class Session:
 
     def apply(self, changes: dict[str, Writes]) -> None:
         for name, w in changes.items():
-            w.base = getattr((self.pending or {}).get(name), "base", self.lake.tables[name].version)
+            w.base = getattr((self.pending or {}).get(name), "base", self.starts.get(name, self.lake.tables[name].version))
         if self.pending is not None:
             self.pending.update(changes)
-            return
-        self.take_turn()
-        try:
+        else:
             self.commit(changes)
-        finally:
-            self.give_turn()
 
     # ---- write targets
     def target(self, s: Node) -> tuple[Table, str]:
@@ -371,7 +417,7 @@ class Session:
             if s.top.percent:
                 n = math.ceil(self.counted(f"SELECT DISTINCT {', '.join(quote('_was_' + k) for k in t.key)} FROM ({sql})") * n / 100)
             sql = f"SELECT * FROM ({sql}) ORDER BY {keys} LIMIT {int(n)}"
-        return self.spark.sql(sql)
+        return self.q(sql)
 
     def pruned(self, s: Node, alias: str) -> Node | None:
         """The FROM tree of a write without outer joins of one table that nothing else reads.
@@ -422,11 +468,11 @@ class Session:
             defaults = [[repr(i) for i, e in enumerate(row) if e.kind == "default"] for row in body.rows]
             if any(defaults):
                 rows = ["(" + ", ".join(self.default_sql(t, columns[i]) if e.kind == "default" else r.expr(e) for i, e in enumerate(row)) + ")" for row in body.rows]
-                df = self.spark.sql("VALUES " + ", ".join(rows))
+                df = self.q("VALUES " + ", ".join(rows))
             else:
-                df = self.spark.sql(r.query(s.source))
+                df = self.q(r.query(s.source))
         else:
-            df = self.spark.sql(self.renderer(params).query(s.source))
+            df = self.q(self.renderer(params).query(s.source))
         if s.top:
             df = df.limit(int(self.counted(f"SELECT CAST({self.renderer(params).expr(s.top.n)} AS INT)", value=True)))
         return self.insert_rows(t, columns, df, s.output)
@@ -436,7 +482,7 @@ class Session:
         if name not in self.temps:
             raise TSqlError(f"Invalid object name '{name}'", 208)
         old = self.spark.table(self.temps[name])
-        new = self.spark.sql(self.renderer(params).query(s.source)).toDF(*(s.columns or old.columns))
+        new = self.q(self.renderer(params).query(s.source)).toDF(*(s.columns or old.columns))
         self.temp(name, old.unionByName(new, allowMissingColumns=True))
         return Result(affected=new.count())
 
@@ -469,10 +515,9 @@ class Session:
         df = df.select(*out)
         if fill_identity:
             df = self.number(t, identity, df)
-        path = state.save(df, t.name)
+        path, n = state.counted(df, t.name)
         schema = T.StructType(t.columns)
         new = state.load(self.spark, path, schema)
-        n = new.count()
         if check and t.key and self.lake.config.checkKeys and (fill_identity or all(k.lower() in given for k in t.key)):
             self.check_keys(t, new)
         self.check_uniques(t, new, None)
@@ -512,7 +557,7 @@ class Session:
         """Rows of a DataFrame of any session as one INSERT."""
         t = self.lake.tables[table.lower()]
         path = state.save(df, t.name + "-bulk")
-        return self.insert_rows(t, df.columns, state.load(self.spark, path, df.schema)).affected
+        return self.write(lambda: self.insert_rows(t, df.columns, state.load(self.spark, path, df.schema))).affected
 
     # ---- checks
     def check_keys(self, t: Table, new: DataFrame, evicted: DataFrame | None = None) -> None:
@@ -564,10 +609,9 @@ class Session:
         items += [(c.name, sets.get(c.name, f"{q}.{quote(c.name)}")) for c in t.columns]
         df = self.affected_frame(s, t, alias, items, params, r, distinct=s.source is not None)
         df = df.select(*[F.col(quote(f"_was_{k}")) for k in t.key], *[_cast(df, F.col(quote(c.name)), c) for c in t.columns])
-        path = state.save(df, t.name)
+        path, n = state.counted(df, t.name)
         df = state.load(self.spark, path, df.schema)
         was = [f"_was_{k}" for k in t.key]
-        n = df.count()
         if s.source is not None and df.groupBy(*was).count().filter("count > 1").limit(1).count():
             raise LakeError(f"UPDATE of {t.name}: a row is given different values", "21000", 8672)
         moved = any(k in sets for k in t.key)
@@ -576,7 +620,9 @@ class Session:
         if moved and self.lake.config.checkKeys:
             self.check_keys(t, new, old_keys)
         self.check_uniques(t, new, old_keys)
-        self.apply({t.name.lower(): self.replaced(t, old_keys, new, tomb=moved)})
+        w = self.writes(t)
+        # the first write of a table is its write state as it stands; its other columns are not read
+        self.apply({t.name.lower(): self.replaced(t, old_keys, new, tomb=moved) if moved or w.rows else Writes(path, w.tombs)})
         return Result(self.returned(t, s.output, inserted=new) if s.output else None, n)
 
     def replaced(self, t: Table, gone: DataFrame | None, new: DataFrame | None, tomb: bool) -> Writes:
@@ -603,9 +649,8 @@ class Session:
         items = [(f"_was_{k}", f"{quote(alias)}.{quote(k)}") for k in t.key]
         df = self.affected_frame(s, t, alias, items, params, r, distinct=True)
         keys = df.toDF(*t.key)
-        path = state.save(keys, t.name)
+        path, n = state.counted(keys, t.name)
         keys = state.load(self.spark, path, keys.schema)
-        n = keys.count()
         changes: dict[str, Writes] = {}
         self.removed(t, keys, changes)
         self.apply(changes)
@@ -623,7 +668,7 @@ class Session:
         shown, self.temps[name] = self.temps[name], view
         try:
             tree = r.source(s.source) if s.source is not None else f"{quote(view)} AS {quote(alias)}"
-            gone = self.spark.sql(f"SELECT DISTINCT {quote(alias)}._row FROM {tree}" + (f" WHERE {r.expr(s.where)}" if s.where is not None else ""))
+            gone = self.q(f"SELECT DISTINCT {quote(alias)}._row FROM {tree}" + (f" WHERE {r.expr(s.where)}" if s.where is not None else ""))
             rest = state.load(self.spark, path, old.schema).join(gone, "_row", "left_anti").drop("_row")
             n = gone.count()
             self.temp(name, rest)
@@ -632,35 +677,34 @@ class Session:
                 self.temps[name] = shown
         return Result(affected=n)
 
-    def removed(self, t: Table, keys: DataFrame, changes: dict[str, Writes], depth: int = 0) -> None:
-        """Deletes keys and what the references make of their children; every check comes before anything is stored."""
-        if depth > 32:
-            raise LakeError("references cascade too deep", "54001")
+    def removed(self, t: Table, keys: DataFrame, changes: dict[str, Writes]) -> None:
+        """Deletes keys and what the references make of their children, level by level; every check comes before anything is stored."""
         current = lambda x: self.lake.frame(x.name, self.spark, changes.get(x.name.lower(), self.writes(x)), self.variables)
-        for ref in [r for r in self.lake.references if r.target.lower() == t.name.lower()]:
-            child = self.lake.tables[ref.table.lower()]
-            pairs = list(zip(ref.columns, t.key, strict=True))
-            rows = current(child)
-            hit = rows.join(keys.select(*[F.col(k).alias(f"__p{i}") for i, (_, k) in enumerate(pairs)]), [F.col(quote(c)) == F.col(f"__p{i}") for i, (c, _) in enumerate(pairs)], "left_semi")
-            if child is t:
-                hit = _anti(hit, keys, t.key)
-            if ref.on_delete == "restrict":
-                if hit.limit(1).count():
-                    raise LakeError(f"The DELETE statement conflicted with the REFERENCE constraint {ref.name}: {child.name} refers to {t.name}", "23503", 547)
-                continue
-            hit = state.load(self.spark, state.save(hit.select(*[c.name for c in child.columns]), child.name), T.StructType(child.columns))
-            if not hit.limit(1).count():
-                continue
-            if ref.on_delete == "cascade":
-                self.removed(child, hit.select(*child.key), changes, depth + 1)
-            else:
-                names = {c.lower() for c in ref.columns}
-                value = lambda c: F.expr(self.default_sql(child, c.name)) if ref.on_delete == "default" else F.lit(None)  # noqa: B023, E731
-                new = hit.select(*[(value(c) if c.name.lower() in names else F.col(quote(c.name))).cast(c.dataType).alias(c.name) for c in child.columns])
-                with _Overlay(self, changes):
-                    changes[child.name.lower()] = self.replaced(child, hit.select(*child.key), new, tomb=False)
-        with _Overlay(self, changes):
-            changes[t.name.lower()] = self.replaced(t, keys, None, tomb=True)
+        todo = [(t, keys)]
+        while todo:
+            t, keys = todo.pop(0)
+            with _Overlay(self, changes):
+                changes[t.name.lower()] = self.replaced(t, keys, None, tomb=True)
+            for ref in [r for r in self.lake.references if r.target.lower() == t.name.lower()]:
+                child = self.lake.tables[ref.table.lower()]
+                pairs = list(zip(ref.columns, t.key, strict=True))
+                hit = current(child).join(keys.select(*[F.col(k).alias(f"__p{i}") for i, (_, k) in enumerate(pairs)]), [F.col(quote(c)) == F.col(f"__p{i}") for i, (c, _) in enumerate(pairs)], "left_semi")
+                if ref.on_delete == "restrict":
+                    if hit.limit(1).count():
+                        raise LakeError(f"The DELETE statement conflicted with the REFERENCE constraint {ref.name}: {child.name} refers to {t.name}", "23503", 547)
+                    continue
+                path, n = state.counted(hit.select(*[c.name for c in child.columns]), child.name)
+                if not n:
+                    continue
+                hit = state.load(self.spark, path, T.StructType(child.columns))
+                if ref.on_delete == "cascade":
+                    todo.append((child, hit.select(*child.key)))
+                else:
+                    names = {c.lower() for c in ref.columns}
+                    value = lambda c: F.expr(self.default_sql(child, c.name)) if ref.on_delete == "default" else F.lit(None)  # noqa: B023, E731
+                    new = hit.select(*[(value(c) if c.name.lower() in names else F.col(quote(c.name))).cast(c.dataType).alias(c.name) for c in child.columns])
+                    with _Overlay(self, changes):
+                        changes[child.name.lower()] = self.replaced(child, hit.select(*child.key), new, tomb=False)
 
     # ---- MERGE
     def s_merge(self, s: Node, params) -> Result:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import logging
+
 from stratalake.plans.tsql.lexer import Token, TSqlError, tokens
 
+log = logging.getLogger("stratalake")
+
 
 class Node:
     def __init__(self, kind: str, **fields):
@@ -330,6 +334,8 @@ class Parser:
             n = self.primary()
         percent = self.take("PERCENT")
         ties = self.take("WITH", "TIES")
+        if ties:
+            log.warning("TOP .. WITH TIES: the ties are ignored")
         return Node("top", n=n, percent=percent, ties=ties)
 
     def select(self) -> Node:

@@ -82,7 +82,7 @@ class Renderer:
         return f"{self.side(b.left)} {b.op} {self.side(b.right)}"
 
     def side(self, b: Node) -> str:
-        return f"({self.body(b)})" if b.kind == "setop" else self.body(b)
+        return f"({self.body(b)})" if b.kind == "setop" or b.kind == "select" and b.top else self.body(b)
 
     def select(self, s: Node, q: Node | None) -> str:
         source = self.source(s.source) if s.source else ""
@@ -282,6 +282,8 @@ class Renderer:
         left, right = self.bit(e.left, left), self.bit(e.right, right)
         if op == "/":
             return self.divide(left, right)
+        if op == "%" and not (e.right.kind == "number" and float(e.right.value)):
+            return f"({left} % nullif({right}, 0))"
         return f"({left} {op} {right})"
 
     def bit(self, e: Node, sql: str) -> str:

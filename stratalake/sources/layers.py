@@ -10,7 +10,7 @@ import json
 import logging
 import os
 import re
-import tempfile
+import shutil
 import uuid
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalake.operators import state
+from stratalake.sources import files
+
 log = logging.getLogger("stratalake")
 FORMATS = ("parquet", "json", "yaml", "yml")
 
@@ -35,7 +38,7 @@ class Source:
     partitions: list[str] = field(default_factory=list)
     directory: bool = False
     keyed_by: str | None = None
-    rows: list[dict] | None = None
+    shape: T.StructType | None = None  # found once, so that later reads open no footers
 
 
 def _pair(name: str) -> tuple[str, str] | None:
@@ -58,28 +61,36 @@ def scan(layer: str) -> dict[str, Source]:
             log.warning("%s: %s is already read from %s; ignored", s.table, s.paths[0], old.paths[0])
 
     def walk(folder: str, parts: list[str]) -> None:
-        names = sorted(os.listdir(folder))
-        files = [n for n in names if os.path.isfile(f"{folder}/{n}") and not n.startswith(".")]
+        held = files.listing(folder)
+        names = [n for n, is_dir, _, _ in held if not n.startswith(".") and not is_dir]
         for kind in FORMATS:
-            for n in files:
+            for n in names:
                 if n.lower().endswith("." + kind):
                     add(Source(n[: -len(kind) - 1], kind, [f"{folder}/{n}"], layer, list(parts)))
-        for n in names:
+            if kind == "parquet":
+                # a directory named like a Parquet file is one
+                for n in [n for n, is_dir, _, _ in held if is_dir and n.lower().endswith(".parquet")]:
+                    add(Source(n[:-8], kind, [f"{folder}/{n}"], f"{folder}/{n}" if not parts else layer, list(parts), directory=True))
+        for n in [n for n, is_dir, _, _ in held if is_dir and not n.startswith(".") and not n.lower().endswith(".parquet")]:
             path = f"{folder}/{n}"
-            if not os.path.isdir(path) or n.startswith("."):
-                continue
             if pair := _pair(n):
                 walk(path, [*parts, pair[0]])
                 continue
-            inner = sorted(str(p) for p in Path(path).rglob("*.parquet") if not any(x.startswith(".") for x in p.relative_to(path).parts) and p.is_file())
+            inner = sorted(p for p, _, _ in files.walk(path) if p.endswith(".parquet"))
             if inner:
-                below = [q[0] for x in Path(inner[0]).relative_to(path).parts[:-1] if (q := _pair(x))]
+                below = [q[0] for x in _between(path, inner[0]) if (q := _pair(x))]
                 add(Source(n, "parquet", [path] if not parts else inner, path if not parts else layer, [*parts, *below], directory=True))
 
-    walk(layer.rstrip("/"), [])
+    layer = files.plain(layer).rstrip("/")
+    walk(layer, [])
     return found
 
 
+def _between(root: str, path: str) -> list[str]:
+    """The directories between a root and a file."""
+    return path[len(root.rstrip("/")) + 1 :].split("/")[:-1]
+
+
 # ------------------------------------------------------------------ YAML and JSON
 def scalar(node: yaml.ScalarNode):
     """Plain scalars are null, a boolean, a number or text; quoted ones are always text."""
@@ -112,7 +123,7 @@ def _typed(text: str):
 
 def load(path: str, key: str | None) -> tuple[list[dict], str | None]:
     """(rows, the key column if the file is a mapping of entries)."""
-    raw = Path(path).read_text(encoding="utf-8")
+    raw = files.read_text(path)
     if path.endswith(".json"):
         data = json.loads(raw) if raw.strip() else []
         keys = {k: _typed(k) for k in data} if isinstance(data, dict) else {}
@@ -133,6 +144,17 @@ def load(path: str, key: str | None) -> tuple[list[dict], str | None]:
     return [data], None
 
 
+_seeds: dict[tuple, tuple[list[dict], str | None]] = {}
+
+
+def _loaded(path: str, key: str | None) -> tuple[list[dict], str | None]:
+    """A seed file parsed once for each of its versions; the latest version alone is kept."""
+    mark = next(iter(files.walk(path)))
+    if _seeds.get((path, key), (None,))[0] != mark:
+        _seeds[path, key] = (mark, load(path, key))
+    return _seeds[path, key][1]
+
+
 def infer(values: list) -> T.DataType:
     kinds = {type(v) for v in values if v is not None}
     if not kinds:
@@ -178,15 +200,20 @@ def local(spark: SparkSession, rows: list[dict], partitions: dict[str, str] | No
 def read(spark: SparkSession, s: Source, key: str | None) -> DataFrame:
     """The source's rows with its own partition columns and `_file`."""
     if s.format == "parquet":
-        reader = spark.read.option("mergeSchema", "true").option("basePath", s.root if s.partitions or s.directory else str(Path(s.paths[0]).parent))
-        hidden = any(os.path.basename(p).startswith("_") for p in s.paths)
-        df = reader.parquet(*(map(_visible, s.paths) if hidden else s.paths))
+        hidden = any(p.rsplit("/", 1)[-1].startswith("_") for p in s.paths)
+        reader = spark.read.option("mergeSchema", "true")
+        if not hidden:
+            reader = reader.option("basePath", s.root if s.partitions or s.directory else s.paths[0].rsplit("/", 1)[0])
+        if s.shape is not None:
+            reader = reader.schema(s.shape)
+        df = reader.parquet(*([_visible(spark, p) for p in s.paths] if hidden else s.paths))
+        s.shape = df.schema
         return df.withColumn("_file", F.col("_metadata.file_path"))
     out = None
     for path in s.paths:
-        rows, keyed = load(path, key)
+        rows, keyed = _loaded(path, key)
         s.keyed_by = keyed or s.keyed_by
-        parts = dict(q for x in Path(path).relative_to(s.root).parts[:-1] if (q := _pair(x)))
+        parts = dict(q for x in _between(s.root, path) if (q := _pair(x)))
         if not rows:
             continue
         df = local(spark, rows, parts).withColumn("_file", F.lit(path if s.format == "json" and not keyed else None).cast("string"))
@@ -194,11 +221,11 @@ def read(spark: SparkSession, s: Source, key: str | None) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], T.StructType([T.StructField("_file", T.StringType())]))
 
 
-def _visible(path: str) -> str:
-    """A link to a file whose own name Spark would hide."""
-    link = f"{tempfile.mkdtemp(prefix='stratalake-')}/{os.path.basename(path).lstrip('_.')}"
-    os.symlink(path, link)
-    return link
+def _visible(spark: SparkSession, path: str) -> str:
+    """A copy, in the folder that executors share, of a file whose own name Spark would hide."""
+    copy = f"{state.root(spark)}/shown-{uuid.uuid4().hex[:10]}/{path.rsplit('/', 1)[-1].lstrip('_.')}"
+    files.copy(path, copy)
+    return copy
 
 
 # ------------------------------------------------------------------ sinks
@@ -207,11 +234,17 @@ def write_file(df: DataFrame, path: str, kind: str, key: str | None = None) -> N
     os.makedirs(os.path.dirname(path), exist_ok=True)
     temp = f"{os.path.dirname(path)}/.{os.path.basename(path)}.tmp-{uuid.uuid4().hex[:8]}"
     if kind == "parquet":
-        df.coalesce(1).write.option("compression", "zstd").parquet(temp)
-        part = next(p for p in os.listdir(temp) if p.startswith("part-"))
-        os.replace(f"{temp}/{part}", path)
-        import shutil
-
+        df.write.option("compression", "zstd").parquet(temp)
+        parts = [p for p in os.listdir(temp) if p.startswith("part-")]
+        if os.path.isdir(path) or len(parts) > 1:
+            # as many files as Spark wrote: a directory of the table's name
+            old = f"{temp}-old"
+            if os.path.exists(path):
+                os.replace(path, old)
+            os.replace(temp, path)
+            shutil.rmtree(old, ignore_errors=True) if os.path.isdir(old) else Path(old).unlink(missing_ok=True)
+            return
+        os.replace(f"{temp}/{parts[0]}", path)
         shutil.rmtree(temp)
         return
     rows = (plain(r.asDict(recursive=True)) for r in df.toLocalIterator())

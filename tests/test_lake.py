@@ -26,18 +26,18 @@ def rows(df):
 
 @pytest.fixture
 def stack(tmp_path):
-    put(f"{tmp_path}/base/orders.yaml", "- {order_id: 1, amount: 10}\n- {order_id: 2, amount: 20}\n")
-    put(f"{tmp_path}/top/orders.json", '[{"order_id": 2, "amount": 22}, {"order_id": 3, "amount": 33}]')
+    put(f"{tmp_path}/base/crates.yaml", "- {crate: 1, kilos: 15}\n- {crate: 2, kilos: 35}\n")
+    put(f"{tmp_path}/top/crates.json", '[{"crate": 2, "kilos": 36}, {"crate": 3, "kilos": 48}]')
     return tmp_path
 
 
 def lake(spark, stack, **options):
-    return Lake(spark, layers=[f"{stack}/base", f"{stack}/top"], defaultKey="order_id", **options)
+    return Lake(spark, layers=[f"{stack}/base", f"{stack}/top"], defaultKey="crate", **options)
 
 
 def test_shadow_and_no_key(spark, stack):
-    assert rows(lake(spark, stack).frame("orders")) == [(1, 10), (2, 22), (3, 33)]
-    assert Lake(spark, layers=[f"{stack}/base", f"{stack}/top"]).frame("orders").count() == 4
+    assert rows(lake(spark, stack).frame("crates")) == [(1, 15), (2, 36), (3, 48)]
+    assert Lake(spark, layers=[f"{stack}/base", f"{stack}/top"]).frame("crates").count() == 4
 
 
 def test_one_layer_keeps_repeated_keys(spark, tmp_path):
@@ -56,8 +56,8 @@ def test_scalars_keyed_files_and_partitions(spark, tmp_path):
 
 
 def test_filter_before_shadow(spark, stack):
-    got = lake(spark, stack, tables={"orders": {"filter": "amount <> 22"}}).frame("orders")
-    assert rows(got) == [(1, 10), (2, 20), (3, 33)]
+    got = lake(spark, stack, tables={"crates": {"filter": "kilos <> 36"}}).frame("crates")
+    assert rows(got) == [(1, 15), (2, 35), (3, 48)]
 
 
 def test_key_predicate_reaches_the_scans(spark, tmp_path):
@@ -72,44 +72,44 @@ def test_key_predicate_reaches_the_scans(spark, tmp_path):
 def test_writes_survive_a_restart(spark, stack, kind):
     w = f"{stack}/w"
     s = lake(spark, stack, write=w, writeFormat=kind).session()
-    s.tsql("INSERT INTO orders VALUES (4, 44); UPDATE orders SET amount = 0 WHERE order_id = 1; DELETE FROM orders WHERE order_id = 3")
-    want = [(1, 0), (2, 22), (4, 44)]
-    assert rows(s.tsql("SELECT * FROM orders")) == want
-    assert rows(lake(spark, stack, write=w).frame("orders")) == want
-    lake(spark, stack, write=w).session().tsql("DELETE FROM orders")
-    assert rows(lake(spark, stack, write=w).frame("orders")) == [] and not os.path.exists(f"{w}/orders.{kind}")
+    s.tsql("INSERT INTO crates VALUES (4, 60); UPDATE crates SET kilos = 0 WHERE crate = 1; DELETE FROM crates WHERE crate = 3")
+    want = [(1, 0), (2, 36), (4, 60)]
+    assert rows(s.tsql("SELECT * FROM crates")) == want
+    assert rows(lake(spark, stack, write=w).frame("crates")) == want
+    lake(spark, stack, write=w).session().tsql("DELETE FROM crates")
+    assert rows(lake(spark, stack, write=w).frame("crates")) == [] and not os.path.exists(f"{w}/crates.{kind}")
 
 
 @pytest.mark.parametrize("modes", [{}, {"materialize": True}, {"materialize": True, "lazy": True}])
 def test_modes_agree_after_writes(spark, stack, modes):
     with lake(spark, stack, write=f"{stack}/w", **modes) as k:
-        k.session().tsql("UPDATE orders SET order_id = order_id + 1; DELETE TOP (1) FROM orders")
+        k.session().tsql("UPDATE crates SET crate = crate + 1; DELETE TOP (1) FROM crates")
     for again in range(2):
         with lake(spark, stack, write=f"{stack}/w", **modes) as k:
-            assert rows(k.frame("orders")) == [(3, 22), (4, 33)], again
+            assert rows(k.frame("crates")) == [(3, 36), (4, 48)], again
 
 
 def test_rules(spark, stack):
     s = lake(spark, stack).session()
-    for text, number in (("INSERT INTO orders VALUES (1, 1)", 2627), ("INSERT INTO orders VALUES (9, 1), (9, 2)", 2627), ("INSERT INTO nothing VALUES (1)", 208), ("UPDATE orders SET nope = 1", 207)):
+    for text, number in (("INSERT INTO crates VALUES (1, 1)", 2627), ("INSERT INTO crates VALUES (9, 1), (9, 2)", 2627), ("INSERT INTO nothing VALUES (1)", 208), ("UPDATE crates SET nope = 1", 207)):
         with pytest.raises(LakeError) as e:
             s.tsql(text)
         assert e.value.number == number
     with pytest.raises(LakeError):
-        s.tsql("UPDATE o SET amount = x.v FROM orders o JOIN (VALUES (1, 5), (1, 6)) x (k, v) ON x.k = o.order_id")
-    assert rows(s.tsql("SELECT * FROM orders")) == [(1, 10), (2, 22), (3, 33)]
+        s.tsql("UPDATE o SET kilos = x.v FROM crates o JOIN (VALUES (1, 5), (1, 6)) x (k, v) ON x.k = o.crate")
+    assert rows(s.tsql("SELECT * FROM crates")) == [(1, 15), (2, 36), (3, 48)]
 
 
 def test_two_transactions_on_one_table(spark, stack):
     k = lake(spark, stack)
     a, b = k.session(), k.session()
-    a.tsql("BEGIN TRAN; DELETE FROM orders WHERE order_id = 1")
-    assert b.tsql("SELECT * FROM orders").count() == 3
-    b.tsql("BEGIN TRAN; DELETE FROM orders WHERE order_id = 2")
+    a.tsql("BEGIN TRAN; DELETE FROM crates WHERE crate = 1")
+    assert b.tsql("SELECT * FROM crates").count() == 3
+    b.tsql("BEGIN TRAN; DELETE FROM crates WHERE crate = 2")
     a.tsql("COMMIT")
     with pytest.raises(LakeError) as e:
         b.tsql("COMMIT")
-    assert e.value.sqlstate == "40001" and rows(k.frame("orders")) == [(2, 22), (3, 33)]
+    assert e.value.sqlstate == "40001" and rows(k.frame("crates")) == [(2, 36), (3, 48)]
 
 
 def test_cascade_and_self_reference(spark, tmp_path):
@@ -163,26 +163,26 @@ def test_password_hash():
 
 def test_explain_names_steps(spark, stack):
     s = lake(spark, stack).session()
-    assert [r[0] for r in s.explain("UPDATE orders SET amount = 1").collect()] == ["check", "step"]
-    assert "Window" in s.explain("SELECT * FROM orders").collect()[1][1]
+    assert [r[0] for r in s.explain("UPDATE crates SET kilos = 1").collect()] == ["check", "step"]
+    assert "Window" in s.explain("SELECT * FROM crates").collect()[1][1]
 
 
 def test_unread_outer_joins_leave_joined_writes(spark, stack):
-    put(f"{stack}/base/notes.json", '[{"order_id": 1, "note": "a"}, {"order_id": 1, "note": "b"}]')
+    put(f"{stack}/base/notes.json", '[{"crate": 1, "note": "a"}, {"crate": 1, "note": "b"}]')
     s = lake(spark, stack, tables={"notes": {"key": ["note"]}}).session()
 
     def tree(text):
         n = parse(text)[0]
         return s.pruned(n, s.target(n)[1]).kind
 
-    assert tree("DELETE o FROM orders o LEFT JOIN notes n ON n.order_id = o.order_id WHERE o.amount > 20") == "table"
-    assert tree("DELETE o FROM notes n RIGHT JOIN orders o ON n.order_id = o.order_id WHERE amount > 20") == "table"
-    for rest in ("LEFT JOIN notes n ON n.order_id = o.order_id WHERE n.note IS NULL", "LEFT JOIN notes n ON n.order_id = o.order_id WHERE note IS NULL", "JOIN notes n ON n.order_id = o.order_id"):
-        assert tree(f"DELETE o FROM orders o {rest}") == "join"
-    s.tsql("DELETE o FROM orders o LEFT JOIN notes n ON n.order_id = o.order_id LEFT JOIN notes m ON m.note = n.note WHERE o.amount = 10")
-    assert rows(s.tsql("SELECT order_id FROM orders")) == [(2,), (3,)]
-    s.tsql("UPDATE o SET amount = 5 FROM orders o LEFT JOIN notes n ON n.order_id = o.order_id WHERE n.note IS NULL AND o.order_id = 3")
-    assert rows(s.tsql("SELECT * FROM orders")) == [(2, 22), (3, 5)]
+    assert tree("DELETE o FROM crates o LEFT JOIN notes n ON n.crate = o.crate WHERE o.kilos > 35") == "table"
+    assert tree("DELETE o FROM notes n RIGHT JOIN crates o ON n.crate = o.crate WHERE kilos > 35") == "table"
+    for rest in ("LEFT JOIN notes n ON n.crate = o.crate WHERE n.note IS NULL", "LEFT JOIN notes n ON n.crate = o.crate WHERE note IS NULL", "JOIN notes n ON n.crate = o.crate"):
+        assert tree(f"DELETE o FROM crates o {rest}") == "join"
+    s.tsql("DELETE o FROM crates o LEFT JOIN notes n ON n.crate = o.crate LEFT JOIN notes m ON m.note = n.note WHERE o.kilos = 15")
+    assert rows(s.tsql("SELECT crate FROM crates")) == [(2,), (3,)]
+    s.tsql("UPDATE o SET kilos = 5 FROM crates o LEFT JOIN notes n ON n.crate = o.crate WHERE n.note IS NULL AND o.crate = 3")
+    assert rows(s.tsql("SELECT * FROM crates")) == [(2, 36), (3, 5)]
 
 
 def test_session_verbs(spark, stack):
@@ -195,17 +195,17 @@ def test_session_verbs(spark, stack):
     s.tsql("SELECT 1 AS a INTO #t")
     s.sql("DISCARD ALL")
     assert not s.temps
-    assert [tuple(r)[:2] for r in s.tsql("EXEC ..sp_tablecollations_100 N'dbo.orders'").collect()] == [(1, "order_id"), (2, "amount")]
-    assert s.describe("SELECT amount AS a FROM orders").names == ["a"]
+    assert [tuple(r)[:2] for r in s.tsql("EXEC ..sp_tablecollations_100 N'dbo.crates'").collect()] == [(1, "crate"), (2, "kilos")]
+    assert s.describe("SELECT kilos AS a FROM crates").names == ["a"]
 
 
 def test_command_line(spark, stack, capsys):
     layers = [f"{stack}/base", f"{stack}/top"]
-    assert main(["bake", *layers, "--key", "order_id", "--out", f"{stack}/baked"], spark) == 0
-    assert main(["query", f"{stack}/baked", "--tsql", "SELECT COUNT(*) AS n FROM orders"], spark) == 0
+    assert main(["bake", *layers, "--key", "crate", "--out", f"{stack}/baked"], spark) == 0
+    assert main(["query", f"{stack}/baked", "--tsql", "SELECT COUNT(*) AS n FROM crates"], spark) == 0
     assert capsys.readouterr().out == "n\n3\n"
     assert main(["query", "/nowhere", "--sql", "SELECT 1"], spark) == 64 and main(["query", *layers], spark) == 64
-    assert main(["query", *layers, "--tsql", "DELETE FROM orders"], spark) == 1
+    assert main(["query", *layers, "--tsql", "DELETE FROM crates"], spark) == 1
 
 
 def test_a_kept_store_is_the_state(spark, stack):
@@ -217,17 +217,17 @@ def test_a_kept_store_is_the_state(spark, stack):
         return lake(spark, stack, schema=schema, **{**options, **more})
 
     with opened() as k:
-        k.session().tsql("INSERT INTO t (label) VALUES ('b'); UPDATE orders SET amount = 0 WHERE order_id = 1; DELETE FROM orders WHERE order_id = 3; DELETE FROM t WHERE id = 6")
-    assert not os.path.exists(f"{stack}/w/orders.json")
-    put(f"{stack}/base/orders.yaml", "- {order_id: 8, amount: 80}\n")
+        k.session().tsql("INSERT INTO t (label) VALUES ('b'); UPDATE crates SET kilos = 0 WHERE crate = 1; DELETE FROM crates WHERE crate = 3; DELETE FROM t WHERE id = 6")
+    assert not os.path.exists(f"{stack}/w/crates.json")
+    put(f"{stack}/base/crates.yaml", "- {crate: 8, kilos: 80}\n")
     for lazy in (False, True):
         with opened(lazy=lazy) as k:
-            assert rows(k.session().tsql("SELECT * FROM orders")) == [(1, 0), (2, 22)]
+            assert rows(k.session().tsql("SELECT * FROM crates")) == [(1, 0), (2, 36)]
     with opened() as k:
         s = k.session()
         s.tsql("INSERT INTO t (label) VALUES ('c')")
         assert rows(s.tsql("SELECT id FROM t")) == [(5,), (7,)]
-    put(f"{stack}/top/orders.json", '[{"order_id": 2, "amount": 22, "more": 1}]')
-    with pytest.raises(LakeError, match="orders"):
+    put(f"{stack}/top/crates.json", '[{"crate": 2, "kilos": 36, "more": 1}]')
+    with pytest.raises(LakeError, match="crates"):
         opened()
-    assert rows(opened(store=f"{stack}/spilled", storeMode="spill").frame("orders").select("order_id")) == [(2,), (8,)]
+    assert rows(opened(store=f"{stack}/spilled", storeMode="spill").frame("crates").select("crate")) == [(2,), (8,)]

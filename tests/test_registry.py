@@ -1,21 +1,30 @@
-"""Registered queries against their SQL on the smallest tables."""
+"""Every registered query against its SQL on the smallest tables."""
 
 import duckdb
 import pytest
 
-from stratalake.plans import registry
+from stratalake.plans import registry, registry_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events labels".split()
+#: queries whose answer is no row, as their meaning or the tables have it
+EMPTY = {"tsql_not_in_null_all", "tsql_except", "sql_semi_anti"}
 
 
-@pytest.mark.parametrize("name", ["layered_revenue", "layer_partition_above", "update_from", "delete_top_percent", "fk_cascade", "fk_set_default", "flush_delta_restart", "identity_insert", "tsql_join_nested", "tsql_openjson_default", "tsql_cast_rounding", "tsql_datediff_month", "declared_function", "select_into_temp"])
+def plain(v):
+    return bytes(v) if isinstance(v, (bytearray, memoryview)) else v
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_matches(spark, name):
     c = duckdb.connect()
     for t in TABLES:
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.sql(registry.SQL[name])
     names = sorted(want.columns)
-    got = registry.QUERIES[name](spark, SF).select(*names).collect()
+    df = registry.QUERIES[name](spark, SF)
+    assert sorted(df.columns) == names
+    got = df.select(*[f"`{n}`" for n in names]).collect()
     order = [want.columns.index(n) for n in names]
-    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(repr(tuple(r[i] for i in order)) for r in want.fetchall())
+    assert sorted(map(repr, (tuple(plain(v) for v in r) for r in got))) == sorted(repr(tuple(plain(r[i]) for i in order)) for r in want.fetchall())
+    assert got or name in EMPTY
