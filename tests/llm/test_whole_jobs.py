@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from test_operators import brute_components, docs
 
-from stratalake.llm import common, decontam, license, neardup, packing, pii, quality, tiff, urlfilter, warc
+from stratalake.llm import common, decontam, license, maxent, neardup, packing, pii, quality, tiff, urlfilter, warc
 
 pytest.importorskip("ahocorasick")
 
@@ -412,3 +412,115 @@ def test_numbers_against_brute_force():
 def test_another_lexicon(spark):
     got = pii.rewrite(docs(spark, [(1, "Zorblax Quux met John Smith")]), names={("m", "latin"): ["Zorblax", "Grunk"]}).collect()[0].text
     assert re.fullmatch(r"Grunk \w+ met John Smith", got)
+
+
+# ------------------------------------------------------------------ 7
+def brute_ratio(events):
+    """events: (history, class, token or None, before, train, share). The factor of each, by dictionaries."""
+    def level(rows, discount):
+        n, seen, total = {}, {}, {}
+        for ctx, token, train, p in rows:
+            if train:
+                n[ctx, token] = n.get((ctx, token), 0) + 1
+                total[ctx] = total.get(ctx, 0) + 1
+        for ctx, token, _, p in rows:
+            if token is not None and n.get((ctx, token)):
+                seen.setdefault(ctx, {})[token] = p
+        out = []
+        for ctx, token, _, p in rows:
+            own = seen.get(ctx, {})
+            used = sum(own.values())
+            if used > 1 - 1e-9:
+                every = sum(n[ctx, t] for t in own)
+                out.append(n[ctx, token] / every / p if token in own else 1.0)
+                continue
+            q = {t: (n[ctx, t] - discount) / total[ctx] for t in own}
+            out.append(q[token] / p if token in own else (1 - sum(q.values())) / (1 - used) if own else 1.0)
+        return out
+
+    two = level([((h, c), t, tr, p) for h, c, t, b, tr, p in events], maxent.DISCOUNT)
+    three = level([((h, c, b), t, tr, p * r) for (h, c, t, b, tr, p), r in zip(events, two, strict=True)], maxent.DISCOUNT3)
+    return [x * y for x, y in zip(two, three, strict=True)]
+
+
+def test_token_factor_against_loops_and_its_sums():
+    r = random.Random(7)
+    tokens = {c: list(range(10 * c, 10 * c + r.randint(2, 9))) for c in range(3)}
+    share = {}
+    for c, ts in tokens.items():
+        x = [r.random() for _ in ts]
+        share |= {t: 0.8 * y / sum(x) for t, y in zip(ts, x, strict=True)}
+    events = []
+    for _ in range(400):
+        c = r.randrange(3)
+        t = r.choice([*tokens[c][: 1 + r.randrange(len(tokens[c]))], None])
+        events.append((r.randrange(4), c, t, r.randrange(3), r.random() < 0.8, share.get(t, 0.0)))
+    ask = [(h, c, t, b, False, share.get(t, 0.0)) for h in range(5) for c in tokens for b in range(4) for t in [*tokens[c], None]]
+    events += ask
+    h, c, t, b, tr, p = zip(*events, strict=True)
+    code = [x if x is not None else maxent.HOT + y for x, y in zip(t, c, strict=True)]
+    got = maxent.ratios(np.array(h, np.uint32), np.array(c, np.int64), np.array(code, np.uint32), np.array(b, np.uint32), np.array(tr), np.array(p))
+    assert got == pytest.approx(brute_ratio(events))
+    sums = {}
+    for (h, c, t, b, _, p), x in zip(ask, got[-len(ask) :], strict=True):
+        # a class's other tokens hold what the shares leave, 0.2 here
+        sums[h, c, b] = sums.get((h, c, b), 0.0) + (p if t is not None else 0.2) * x
+    assert set(sums) and all(x == pytest.approx(1) for x in sums.values())
+
+
+def test_token_factor_where_a_class_is_seen_whole():
+    n = 6
+    got = maxent.ratios(np.zeros(n, np.uint32), np.zeros(n, np.int64), np.array([0, 0, 1, 0, 1, 1], np.uint32), np.zeros(n, np.uint32), np.array([True, True, True, False, False, True]), np.array([0.5] * n))
+    assert got == pytest.approx([1.0] * n)
+
+
+def test_language_model_end_to_end(spark, monkeypatch):
+    """score against the model's own parts, token by token; chunks and partitions do not matter."""
+    r = random.Random(12)
+    rows = [(i, " ".join(r.choice([f"w{k}", f"w{k % 5}"]) for k in r.choices(range(30), k=r.randint(0, 25)))) for i in range(120)]
+    rows += [(500, None), (501, "never seen w1"), (None, "w1 w2"), (3, rows[3][1])]
+    d = docs(spark, rows)
+    _, (total, distinct), v, w, bias, logs = maxent.fit(d)
+    events, where, want = [], [], {}
+    for k, (i, text) in enumerate(rows):
+        t = maxent.Tokens(*common.utf8(pa.array([text or ""])))
+        at, cls = maxent.classes_of(v, t)
+        z, _, sums = maxent.softmax(w, bias, maxent.features(t))
+        train = i is None or zlib.crc32(str(i).encode()) % 7 != 2
+        prev, before = t.before(t.h, maxent.START), t.before(t.before(t.h, maxent.START), maxent.START)
+        want[k] = 0.0
+        for j in range(len(t.h)):
+            own = at[j] >= 0
+            share = (v.c[at[j]] + 1 if own else 1) / 10 ** logs[cls[j]]
+            want[k] += (z[j, cls[j]] - np.log(sums[j, 0])) / np.log(10) + np.log10(share)
+            events.append((int(prev[j]), int(cls[j]), int(at[j]) if own else None, int(before[j]), train, share if own else 0.0))
+            where.append(k)
+    for k, x in zip(where, brute_ratio(events), strict=True):
+        want[k] += np.log10(x)
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    expect = sorted([(i, want[k]) for k, (i, _) in enumerate(rows)], key=key)
+
+    def check(frame):
+        got = sorted([(x.doc_id, x.score) for x in maxent.score(frame).collect()], key=key)
+        assert [i for i, _ in got] == [i for i, _ in expect] and [x for _, x in got] == pytest.approx([x for _, x in expect], rel=1e-2)
+
+    check(d)
+    monkeypatch.setattr(maxent, "CHUNK", 40)
+    check(d.repartition(7))
+
+
+def test_language_model_without_rows(spark):
+    assert maxent.score(docs(spark, [])).count() == 0
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    (x,) = maxent.score(docs(spark, [(held, "no training at all")])).collect()
+    assert (x.train_tokens, x.n_known, x.n_tokens) == (0, 0, 5) and x.base_score == 0.0 and np.isfinite(x.score)
+
+
+def test_held_out_gain_and_partitions(spark):
+    """At least 0.3 log10 a token over the base on held-out rows, and the same at 1 and 64 partitions."""
+    d, got = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), []
+    for n in (1, 64):
+        x = maxent.score(d.repartition(n)).filter("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n").first()
+        got.append(x.s / x.n)
+        assert (x.s - x.b) / x.n > 0.3
+    assert abs(got[0] - got[1]) < 0.01
