@@ -149,7 +149,7 @@ def telling(held: list[tuple[int, str, frozenset]], least: float) -> dict[int, l
 
 def bitmap(triples: np.ndarray) -> tuple[Column, int]:
     """(array of longs, number of bits) that holds every triple's last bits."""
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (64 * max(1, len(triples)) - 1).bit_length()))
+    bits = min(MAX_BITS, max(MIN_BITS, 1 << (4096 * max(1, len(triples)) - 1).bit_length()))
     on = np.zeros(bits, np.uint8)
     on[triples & (bits - 1)] = 1
     words = np.packbits(on, bitorder="little").view("<i8")
