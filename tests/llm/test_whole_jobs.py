@@ -524,3 +524,16 @@ def test_held_out_gain_and_partitions(spark):
         got.append(x.s / x.n)
         assert (x.s - x.b) / x.n > 0.3
     assert abs(got[0] - got[1]) < 0.01
+
+
+@pytest.mark.parametrize("shards", [1, 64, 65, 200])
+def test_tokens_go_to_any_number_of_shards(spark, monkeypatch, shards):
+    """Whatever the number of shards that a chunk fills, every token arrives once."""
+    rows = [(i, " ".join(f"t{i * 7 + k}" for k in range(40))) for i in range(60)]
+    d = docs(spark, rows)
+    counts, _, v, _, _, logs = maxent.fit(d)
+    src = d.selectExpr("xxhash64(doc_id, text) AS key", "true AS train", "text").coalesce(1)
+    n = sum(len(t.split()) + 1 for _, t in rows)
+    monkeypatch.setattr(maxent, "SHARD", -(-n // shards))
+    got = {x.key: x.ratio for x in maxent.token_factor(src, v, logs, n, len(rows)).collect()}
+    assert len(got) == len(rows) and all(x > 0 for x in got.values())
