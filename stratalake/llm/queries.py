@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from stratalake.llm import decontam, license, maxent, neardup, packing, pii, quality, tiff, urlfilter, warc
 from stratalake.llm.common import table
 
@@ -23,7 +25,9 @@ def op4_urlfilter(spark, sf_dir):
 
 
 def op5_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    # the digest of the ids as they were written and read again
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op6_licenses(spark, sf_dir):

@@ -537,3 +537,20 @@ def test_tokens_go_to_any_number_of_shards(spark, monkeypatch, shards):
     monkeypatch.setattr(maxent, "SHARD", -(-n // shards))
     got = {x.key: x.ratio for x in maxent.token_factor(src, v, logs, n, len(rows)).collect()}
     assert len(got) == len(rows) and all(x > 0 for x in got.values())
+
+
+# ------------------------------------------------------------------ pipeline
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empties, repeats, a very long text and an empty table go through all stages."""
+    import corpus_pipeline
+
+    whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", "x", 0), (None, "one two three", None, "y", 13), (9003, "word " * 100_000, "en", "z", 1), (9003, "word " * 100_000, "en", "z", 1)], whole.schema)
+    for name, rows in (("odd", whole.unionByName(odd)), ("none", whole.limit(0))):
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{name}/{t}.parquet")
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        got = out.collect()
+        assert "ids" in out.columns and all(len(r.ids) == 4 * r.length for r in got)
+        assert bool(got) == (name == "odd")
