@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept. `run`
 writes every stage as Parquet in the shared folder and reads it again.
+
+Defined results: a null or empty text scores the classifier's bias, is linked with
+nothing, holds no benchmark passage and no personal data, and is packed as its end token
+if the classifier keeps it; a null doc_id is kept by near-dedup; of rows that repeat a
+doc_id all stay where that id does; of a group of near-duplicates the smallest doc_id
+stays; a score of just the cut is kept; empty tables give no rows (an empty labels table
+scores all 0.5 and rejects all); other columns are handed on until packing.
 """
 
 from __future__ import annotations
@@ -33,8 +40,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
-    return packing.pack(docs, with_ids=False)
+    """Pieces of training sequences, with their token ids."""
+    return packing.pack(docs)
 
 
 STAGES = [
