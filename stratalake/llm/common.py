@@ -82,8 +82,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow. Where the session has Spark's own 10,000 rows a batch, 1,000 are set, as rows are whole texts."""
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(ROWS) == "10000":
+        df.sparkSession.conf.set(ROWS, "1000")
     return df.mapInArrow(fn, schema)
 
 

@@ -200,19 +200,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *, keep: list[str],
     """The columns `keep` with the score; with at_least, only rows that reach it, and no new column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
+    at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches):
         model = shared.value
         for b in batches:
-            data, off = utf8(b.column(0))
+            data, off = utf8(b.column(at))
             got = scores(data, off, model)
-            cols = [b.column(k + 1) for k in range(len(keep))]
+            cols = [b.column(k) for k in range(len(keep))]
             if at_least is None:
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(got, pa.float64())], [*keep, column])
             else:
                 yield pa.RecordBatch.from_arrays(cols, keep).filter(pa.array(got >= at_least))
 
-    src = docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else [F.col("text").alias("__text")]))
     return arrow_map(src, run, T.StructType([*fields, *([T.StructField(column, T.DoubleType())] if at_least is None else [])]))
 
 
