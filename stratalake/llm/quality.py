@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from stratalake.llm.common import BLOCK, SPACE, U64, arrow_map, chunks, cut, mix, utf8, word_table
 
 DIM, EPOCHS, RATE, SAMPLE, SEED = 8, 8, 0.35, 4000, 17
-SAMPLE_BYTES = 64 << 20
+SAMPLE_BYTES, SLICES = 64 << 20, 16
 CUT = 0.7
 
 
@@ -137,7 +137,7 @@ def _count(batches):
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
-    """(projected feature vectors, bias): score = sigmoid(bias + mean of the features' numbers)."""
+    """Rows (features, counts, label) to (projected feature vectors, bias): score = sigmoid(bias + mean of the features' numbers)."""
     rng = np.random.default_rng(SEED)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
@@ -146,7 +146,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, f
     steps, at = EPOCHS * len(rows), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(rows)):
-            ids, w, y = rows[k]
+            ids, c, y = rows[k]
+            w = c.astype(np.float32)
+            w /= max(1.0, float(w.sum()))
             rate = RATE * (1 - at / steps)
             at += 1
             v = w @ emb[ids] if len(ids) else np.zeros(DIM, np.float32)
@@ -172,14 +174,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", parts: in
     size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy(F.xxhash64("id"), "id", "y").rowsBetween(Window.unboundedPreceding, 0))
     chosen = chosen.withColumn("size", size).filter(F.col("size") <= sample_bytes)
     feats = arrow_map(chosen.select("text", F.to_json(F.struct("y", F.xxhash64("id").alias("h"))).alias("k")), _count, "ids array<int>, counts array<int>, y string")
-    rows = []
-    for r in feats.toArrow().to_batches():
-        for i in range(r.num_rows):
-            k = json.loads(r.column(2)[i].as_py())
-            w = r.column(1)[i].values.to_numpy().astype(np.float32)
-            rows.append((k["h"], k["y"], r.column(0)[i].values.to_numpy(), w / max(1.0, float(w.sum()))))
+    # a slice at a time, so that the driver never holds all of it twice
+    feats, rows = cut(feats, "quality-features"), []
+    for part in range(SLICES):
+        got = feats.filter(F.pmod(F.crc32(F.col("y").cast("binary")), F.lit(SLICES)) == part).toArrow()
+        for r in got.to_batches():
+            for i in range(r.num_rows):
+                k = json.loads(r.column(2)[i].as_py())
+                c = r.column(1)[i].values.to_numpy()
+                rows.append((k["h"], k["y"], r.column(0)[i].values.to_numpy().copy(), c.astype(np.uint16 if len(c) and c.max() < 1 << 16 else np.int32)))
+        del got
+        pa.default_memory_pool().release_unused()
     rows.sort(key=lambda x: (x[0], x[1]))
-    return train([(ids, w, 1 if y else 0) for _, y, ids, w in rows])
+    return train([(ids, c, 1 if y else 0) for _, y, ids, c in rows])
 
 
 def scores(data: np.ndarray, off: np.ndarray, model: tuple[np.ndarray, float]) -> np.ndarray:
