@@ -61,8 +61,12 @@ def _same(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, back: np.ndarr
     like = first[back]
     if (lens != lens[like]).any():
         return False
-    at = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
-    return bool((data.take(np.repeat(starts, lens) + at) == data.take(np.repeat(starts[like], lens) + at)).all())
+    for i in range(0, len(lens), 8192):
+        n, to = lens[i : i + 8192], starts[like[i : i + 8192]]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if (data.take(np.repeat(starts[i : i + 8192], n) + at) != data.take(np.repeat(to, n) + at)).any():
+            return False
+    return True
 
 
 def _by_bytes(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -280,7 +284,7 @@ def _pack(path: str, window: int, limit: int, end_id: int, with_ids: bool, id_ty
                     ids += end
                     for full in pack.add((doc, len(ids) // 4), ids):
                         emit(full)
-                if len(rows) >= 2000:
+                if len(rows) >= 256:
                     yield flush()
         for full in pack.tail():
             emit(full)
