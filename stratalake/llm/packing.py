@@ -35,7 +35,7 @@ from stratalake.llm.common import arrow_map, chunks, cut, utf8, word_table
 
 WINDOW, OPEN, END = 4096, 64, 2
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 600_000
+CACHE, PIECES = 600_000, 60_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -86,7 +86,8 @@ class WordTokenizer:
     tokenizer splits it, and pieces not met before are encoded by the tokenizer, many to
     a call with a line break between them. This holds for the plain Latin characters
     below U+017F; a text with any other character, or with a special token's opening,
-    is encoded whole. At most CACHE words are kept, then all go.
+    is encoded whole. At most CACHE words and PIECES pieces are kept, then all go (a batch
+    may end above that).
     """
 
     def __init__(self, path: str):
@@ -122,6 +123,8 @@ class WordTokenizer:
                 at = end
 
     def _add(self, words: list[bytes]) -> None:
+        if len(self.pieces) > PIECES:
+            self.pieces = {"\n": MARK}
         flat = self.split(b"\n".join(words).decode().lower() + "\n")
         if missing := list(set(flat) - self.pieces.keys()):
             self._pieces(missing)
