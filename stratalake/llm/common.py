@@ -88,9 +88,15 @@ ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow. Where the session has Spark's own 10,000 rows a batch, 1,000 are set, as rows are whole texts."""
     ship(df.sparkSession)
+
+    def run(batches):
+        yield from fn(batches)
+        # workers are used again, so what this partition's batches took goes back to the system
+        pa.default_memory_pool().release_unused()
+
     if df.sparkSession.conf.get(ROWS) == "10000":
         df.sparkSession.conf.set(ROWS, "1000")
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
