@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -82,14 +83,32 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: What a worker process keeps between partitions of one map, such as a tokenizer.
+KEPT: list[dict] = []
+_map = {"id": ""}
+
+
+def begin(this: str) -> None:
+    """Where a worker turns to another map, what it kept for the last one goes back to the system."""
+    if _map["id"] == this:
+        return
+    _map["id"] = this
+    for kept in KEPT:
+        kept.clear()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow. Where the session has Spark's own 10,000 rows a batch, 1,000 are set, as rows are whole texts."""
     ship(df.sparkSession)
+    this = uuid.uuid4().hex
 
     def run(batches):
+        begin(this)
         yield from fn(batches)
         # workers are used again, so what this partition's batches took goes back to the system
         pa.default_memory_pool().release_unused()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalake.llm.common import arrow_map, cut, raw_texts
+from stratalake.llm.common import KEPT, arrow_map, cut, raw_texts
 
 WIDTH = 10
 BLOCK_WINDOWS = 200_000
@@ -93,6 +93,7 @@ class Matcher:
 
 
 _matchers: dict[str, Matcher] = {}
+KEPT.append(_matchers)
 
 
 def _matcher(shared) -> Matcher:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import arrow_map, chunks, cut, utf8, word_table
+from stratalake.llm.common import KEPT, arrow_map, chunks, cut, utf8, word_table
 
 WINDOW, OPEN, END = 4096, 64, 2
 TOKENIZER = "word_bpe_49k.json"
@@ -190,6 +190,7 @@ class WordTokenizer:
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
+KEPT.append(_tokenizers)
 
 
 def tokenizer(path: str) -> WordTokenizer:

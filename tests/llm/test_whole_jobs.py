@@ -45,6 +45,26 @@ def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in tok(texts)] == [tok.whole(t or "").tolist() for t in texts.to_pylist()]
 
 
+def test_a_tokenizer_that_drops_its_pieces(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 3)
+    monkeypatch.setattr(packing, "PIECES", 2)
+    tok = packing.WordTokenizer(packing.tokenizer_path())
+    for texts in (["one two, three", "two. (one)"], ["four two,", None, ""], ["one's five-six", "two three"]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in tok(pa.array(texts, pa.string()))] == [tok.whole(t or "").tolist() for t in texts]
+
+
+def test_what_a_worker_kept_goes_with_the_next_map(monkeypatch):
+    kept = {"x": 1}
+    monkeypatch.setattr(common, "KEPT", [kept])
+    common.begin("a")
+    assert not kept
+    kept["x"] = 2
+    common.begin("a")
+    assert kept == {"x": 2}
+    common.begin("b")
+    assert not kept
+
+
 # ------------------------------------------------------------------ 1
 def test_two_benchmarks_in_turn(spark):
     """Benchmarks that differ in their last item only, each scanned several times by reused workers."""
