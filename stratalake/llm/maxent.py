@@ -19,8 +19,10 @@ share over the token's probability without it, and all unseen tokens of the clas
 one normaliser. So each history's parameters come from its own counts alone, and
 histories are dealt out by hash to shards of about SHARD tokens; the more text, the more
 shards and features. Tokens go to their shards packed, and a shard returns one sum for
-each document. Previous tokens that stand more than SHARD times are split by document,
-each part with weights of its own, so no shard grows with one history.
+each document. Previous tokens that stand more than SHARD times are split by the token
+before them, and pairs of more than half of SHARD by document, so no shard grows with one
+history. Their counts are taken of the whole training text beforehand, in a table for
+each such token and each such pair, and go to every part, so all parts have the same weights.
 
 Classes: the end token; clusters of the commonest tokens by the company they keep; and
 for all other tokens eight shapes (ending in punctuation, holding non-ASCII, holding
@@ -110,19 +112,21 @@ def _text_chunks(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator
             yield b, i, j, Tokens(data, off[i : j + 1])
 
 
+def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Makes one of several pairs of values and counts."""
+    h, c = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    held[:] = [(h[first], np.add.reduceat(c, first))]
+
+
 def _count(batches):
     """Counts of a partition's tokens, merged as they come; what it holds follows its distinct tokens."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def merge():
-        h, c = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        held[:] = [(h[first], np.add.reduceat(c, first))]
-
     def rows():
-        merge()
+        _merge(held)
         u, c = held.pop()
         for i in range(0, len(u), 100_000):
             yield pa.RecordBatch.from_arrays([i64(u[i : i + 100_000]), pa.array(c[i : i + 100_000])], ["tok", "c"])
@@ -130,7 +134,7 @@ def _count(batches):
     for _, _, _, t in _text_chunks(batches):
         held.append(np.unique(t.h, return_counts=True))
         if len(held) > 16:
-            merge()
+            _merge(held)
             if len(held[0][0]) > 1_000_000:
                 yield from rows()
     if held:
@@ -253,16 +257,15 @@ def classes_of(v: Vocabulary, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _train(shared):
-    """Minibatch steps (row-wise adaptive, one kind of features at a time); weights times tokens, then tokens."""
+    """Minibatch steps (row-wise adaptive); weights times tokens, then tokens."""
 
     def run(batches):
         v, w0, b0 = shared.value
         w, bias, g, gb, n = w0.copy(), b0.copy(), np.full(len(w0), 1e-2, np.float32), np.float32(1e-2), 0
-        turn = -1
         for _, _, _, t in _text_chunks(batches):
             f, (_, cls) = features(t), classes_of(v, t)
             for i in range(0, len(cls), BATCH):
-                fi, y, turn = f[:, i : i + BATCH], cls[i : i + BATCH], turn + 1
+                fi, y = f[:, i : i + BATCH], cls[i : i + BATCH]
                 _, p, total = softmax(w, bias, fi)
                 p /= total
                 p[np.arange(len(y)), y] -= 1
@@ -270,15 +273,14 @@ def _train(shared):
                 step = p.sum(axis=0)
                 gb += np.float32((step**2).sum())
                 bias -= RATE / np.sqrt(gb) * step
-                # one kind of features a minibatch, in turn
-                k = turn % FEATURES
-                low = (fi[k] - k * BUCKETS).astype(np.uint16)
-                order = np.argsort(low, kind="stable")
-                low = low[order]
-                first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-                step, rows = np.add.reduceat(p.take(order, axis=0), first, axis=0), low[first].astype(np.int32) + k * BUCKETS
-                g[rows] += np.square(step) @ _ones[:, 0]
-                w[rows] -= (RATE / np.sqrt(g[rows]))[:, None] * step
+                for k, x in enumerate(fi):
+                    low = (x - k * BUCKETS).astype(np.uint16)
+                    order = np.argsort(low, kind="stable")
+                    low = low[order]
+                    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+                    step, rows = np.add.reduceat(p.take(order, axis=0), first, axis=0), low[first].astype(np.int32) + k * BUCKETS
+                    g[rows] += np.square(step) @ _ones[:, 0]
+                    w[rows] -= (RATE / np.sqrt(g[rows]))[:, None] * step
             n += len(cls)
         if n:
             return np.concatenate([w.ravel() * n, bias * n, [n]])
@@ -387,21 +389,189 @@ def _unpack(raw: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(data.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
+class Often:
+    """Histories that stand too often for one shard: previous tokens, and pairs of these with the token before.
+
+    place: where a token of the vocabulary, any other (last but one) or the start (last)
+    stands among the frequent ones, else -1; pairs: place of the token before times
+    their number, plus place of the previous token, sorted.
+    """
+
+    def __init__(self, v: Vocabulary, documents: int):
+        many = (v.c > SHARD) & (v.h != END)
+        n = int(many.sum())
+        self.place = np.full(len(v.h) + 2, -1, np.int32)
+        self.place[:-2][many] = np.arange(n)
+        if documents > SHARD:
+            self.place[-1] = n
+        self.heads = np.concatenate([v.h[many], np.full(1, START)])
+        self.split = np.maximum(1, -(-np.concatenate([v.c[many], [documents]]) // SHARD)).astype(np.uint64)
+        self.pairs, self.pair_split = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def __len__(self) -> int:
+        return int(self.place.max()) + 1
+
+    def set_pairs(self, found: dict[int, int]) -> None:
+        self.pairs = np.array(sorted(found), np.int64)
+        self.pair_split = np.array([-(-found[k] // SHARD) for k in sorted(found)], np.uint64)
+
+    def find(self, t: Tokens, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the previous token, place of the pair) for each token; -1 where not frequent."""
+        prev = self.place[t.before(np.where(at >= 0, at, len(self.place) - 2), len(self.place) - 1)]
+        pair = np.full(len(prev), -1, np.int64)
+        if len(self.pairs):
+            before = t.before(prev, self.place[-1])
+            k = np.flatnonzero((prev >= 0) & (before >= 0))
+            key = before[k].astype(np.int64) * len(self.heads) + prev[k]
+            found = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            pair[k] = np.where(self.pairs[found] == key, found, -1)
+        return prev, pair
+
+    def of_pair(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of its token before and of its previous token."""
+        return self.pairs[pair] // len(self.heads), self.pairs[pair] % len(self.heads)
+
+
+def _codes(at: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    return np.where(at >= 0, at, HOT + cls.astype(np.int64)).astype(np.uint32)
+
+
+def _before(h: np.ndarray) -> np.ndarray:
+    return (mix(h + U64(5)) >> U64(48)).astype(np.uint32)
+
+
+TABLES = "place int, code binary, n binary, often array<long>"
+
+
+def _table_rows(rows) -> pa.RecordBatch:
+    types = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in TABLES.split(", ")])
+
+
+def _tally(shared):
+    """Counts of the tokens after each frequent history of a partition: of previous tokens, or of pairs where these are given."""
+
+    def run(batches):
+        v, often = shared.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows():
+            _merge(held)
+            h, c = held.pop()
+            first = _groups(h >> 20)[0]
+            edge = [*first.tolist(), len(h)]
+            for i in range(0, len(first), 64):
+                ranges = list(zip(edge[i : i + 64], edge[i + 1 : i + 65], strict=False))
+                yield _table_rows([(int(h[lo] >> 20), _pack(np.diff(h[lo:hi] & 0xFFFFF, prepend=0).astype(np.uint32)), _pack(c[lo:hi].astype(np.int64)), None) for lo, hi in ranges])
+
+        for _, _, _, t in _text_chunks(batches):
+            at, cls = classes_of(v, t)
+            prev, pair = often.find(t, at)
+            place = pair if len(often.pairs) else prev
+            k = np.flatnonzero(place >= 0)
+            if not len(k):
+                continue
+            held.append(np.unique(place[k].astype(np.int64) << 20 | _codes(at[k], cls[k]), return_counts=True))
+            if len(held) > 16:
+                _merge(held)
+                if len(held[0][0]) > 1_000_000:
+                    yield from rows()
+        if held:
+            yield from rows()
+
+    return run
+
+
+def _add_up(limit: int):
+    """Rows come sorted by place: one table for each, and its tokens that stand more than limit times, below their counts."""
+
+    def run(batches):
+        now, total = None, np.zeros(HOT + CLASSES, np.int64)
+
+        def close():
+            if now is None:
+                return
+            used = np.flatnonzero(total)
+            yield _table_rows([(now, _pack(np.diff(used, prepend=0).astype(np.uint32)), _pack(total[used]), [int(total[x]) << 20 | x for x in used[total[used] > limit].tolist()])])
+            total[:] = 0
+
+        for b in batches:
+            place = b.column(0).to_pylist()
+            for k in range(b.num_rows):
+                if place[k] != now:
+                    yield from close()
+                    now = place[k]
+                total[np.cumsum(_unpack(b.column(1)[k].as_py(), np.uint32))] += _unpack(b.column(2)[k].as_py(), np.int64)
+        yield from close()
+
+    return run
+
+
+def _deal(shared, shards: int, level: int):
+    """Each table, for every shard that holds a part of its history. level: 1 for previous tokens, 2 for pairs."""
+
+    def run(batches):
+        _, _, often = shared.value
+        before, prev = often.of_pair(np.arange(len(often.pairs)))
+        for b in batches:
+            for k in range(b.num_rows):
+                place = b.column(0)[k].as_py()
+                pairs = np.flatnonzero(prev == place) if level == 1 else np.array([place])
+                salts = [(mix(often.heads[before[i : i + 1]]) + np.arange(often.pair_split[i], dtype=np.uint64), _before(often.heads[before[i : i + 1]])) for i in pairs.tolist()]
+                if level == 1:
+                    salts.append((np.arange(often.split[place], dtype=np.uint64) + U64(1), np.zeros(1, np.uint32)))
+                head = often.heads[[place] if level == 1 else prev[place : place + 1]]
+                code, n = b.column(1)[k].as_py(), b.column(2)[k].as_py()
+                for salt, second in salts:
+                    hist = mix(mix(head) + salt)
+                    for i in range(0, len(hist), 16):
+                        yield _event_rows([(int(x % U64(shards)), 0, level, _pack((hist[j : j + 1] >> U64(32)).astype(np.uint32)), code, _pack(second), n, None) for j, x in enumerate(hist[i : i + 16], i)])
+
+    return run
+
+
+def frequent(texts: DataFrame, v: Vocabulary, documents: int) -> tuple[Often, list[DataFrame]]:
+    """The histories beyond one shard, and tables of the tokens after each: of previous tokens, then of pairs."""
+    spark, often, tables = texts.sparkSession, Often(v, documents), []
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while len(often) and len(tables) < 2:
+        shared = spark.sparkContext.broadcast((v, often))
+        rows = arrow_map(texts, _tally(shared), TABLES).repartition(n, "place").sortWithinPartitions("place")
+        tables.append(cut(arrow_map(rows, _add_up(SHARD // 2), TABLES), "lm-often", "none"))
+        shared.destroy()
+        if len(tables) == 2:
+            break
+        found, width, start = {}, len(often.heads), int(often.place[-1])
+        for place, x in tables[0].select("place", F.explode("often")).toLocalIterator():
+            if (code := x & 0xFFFFF) < HOT and often.place[code] >= 0:
+                found[place * width + int(often.place[code])] = x >> 20
+        if start >= 0:
+            found[start * width + start] = documents
+        if not found:
+            break
+        often.set_pairs(found)
+    return often, tables
+
+
 EVENTS = "shard int, chunk long, part int, hist binary, code binary, before binary, doc binary, keys binary"
 
 
+def _event_rows(rows) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in EVENTS.split(", ")])
+
+
 def _events(shared, shards: int):
     """Tokens with their histories, packed by chunk and shard, and each chunk's documents.
 
     hist: 32 bits of the previous token; code: the token's place among the hot ones, or
     HOT + its class; before: 16 bits of the token before; doc: place in the chunk, and
-    whether it is of the training rows.
+    whether it is of the training rows. A table of a frequent history (part: its level)
+    has its counts for doc.
     """
 
     def run(batches):
-        v, _, documents = shared.value
-        rank = np.concatenate([np.maximum(1, -(-v.c // SHARD)).astype(np.uint64), np.ones(1, np.uint64)])
-        first = U64(max(1, -(-documents // SHARD)))
+        v, _, often = shared.value
         part, serial, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def flush():
@@ -416,33 +586,32 @@ def _events(shared, shards: int):
             hist = (hist >> U64(32)).astype(np.uint64)
             order = np.argsort(shard << 32 | hist.view(np.int64))
             edge = np.searchsorted(shard[order], np.arange(shards + 1))
-            yield batch([(int(chunk % shards), chunk, -1, None, None, None, None, _pack(keys))])
+            yield _event_rows([(int(chunk % shards), chunk, -1, None, None, None, None, _pack(keys))])
             rows = []
             for k in np.flatnonzero(np.diff(edge)).tolist():
                 at = order[edge[k] : edge[k + 1]]
                 rows.append((k, chunk, 0, _pack(np.diff(hist[at], prepend=0).astype(np.uint32)), _pack(code[at]), _pack(before[at]), _pack(doc[at]), None))
                 if len(rows) >= 64:
-                    yield batch(rows)
+                    yield _event_rows(rows)
                     rows = []
             if rows:
-                yield batch(rows)
-
-        def batch(rows):
-            types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in EVENTS.split(", ")])
+                yield _event_rows(rows)
 
         base = 0
         for b, i, j, t in _text_chunks(batches, 2):
             at, cls = classes_of(v, t)
             prev = t.before(t.h, START)
-            split = rank[t.before(at, -1)]
-            split[t.first] = first
             keys = b.column(0).slice(i, j - i).to_numpy().astype(np.int64)
             row = np.repeat(np.arange(j - i), t.counts)
-            with np.errstate(over="ignore"):
-                hist = mix(mix(prev) + mix(keys.view(np.uint64) + U64(77))[row] % split)
-            code = np.where(at >= 0, at, HOT + cls.astype(np.int64)).astype(np.uint32)
-            before = (mix(t.before(prev, START) + U64(5)) >> U64(48)).astype(np.uint32)
+            code, before, salt = _codes(at, cls), _before(t.before(prev, START)), np.zeros(len(prev), np.uint64)
+            if len(often):
+                place, pair = often.find(t, at)
+                k = np.flatnonzero(place >= 0)
+                salt[k] = before[k].astype(np.uint64) % often.split[place[k]] + U64(1)
+                k = np.flatnonzero(pair >= 0)
+                by = pair[k]
+                salt[k] = mix(often.heads[often.of_pair(by)[0]]) + mix(keys.view(np.uint64) + U64(77))[row[k]] % often.pair_split[by]
+            hist = mix(mix(prev) + salt)
             if not held:
                 base = 0
             train = np.array(b.column(1).slice(i, j - i).to_numpy(zero_copy_only=False), bool)
@@ -462,11 +631,12 @@ def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def ratios(hist: np.ndarray, cls: np.ndarray, code: np.ndarray, before: np.ndarray, train: np.ndarray, share: np.ndarray) -> np.ndarray:
+def ratios(hist: np.ndarray, cls: np.ndarray, code: np.ndarray, before: np.ndarray, train: np.ndarray, share: np.ndarray, train3: np.ndarray | None = None) -> np.ndarray:
     """P(token | class, history) over its share of the class, for tokens of one shard.
 
     A class's tokens seen after a history get their discounted shares of its training
-    tokens; the others keep their proportions in what is left.
+    tokens; the others keep their proportions in what is left. train: how often each
+    stands in training; train3: the same for triples, where it differs.
     """
 
     def level(group: np.ndarray, n_groups: int, token: np.ndarray, p: np.ndarray, discount: float) -> np.ndarray:
@@ -494,7 +664,7 @@ def ratios(hist: np.ndarray, cls: np.ndarray, code: np.ndarray, before: np.ndarr
     p = p * r
     k2 = (group.astype(np.uint64) << U64(40)) | (before[order].astype(np.uint64) << U64(20)) | code[order].astype(np.uint64)
     again = np.argsort(k2)
-    k2, train_ = k2[again], train_[again]
+    k2, train_ = k2[again], (train if train3 is None else train3)[order][again]
     first, group = _groups(k2 >> U64(20))
     more = level(group, len(first), code[order][again].astype(np.int64), p[again], DISCOUNT3)
     out = np.empty(len(hist))
@@ -512,17 +682,28 @@ def _shards(shared):
     def run(batches):
         v, logs, _ = shared.value
         share_hot = (v.c + 1) / 10 ** logs[v.cls] if len(v.h) else np.zeros(1)
-        now, held = None, []
+        now, held, tables = None, [], []
 
         def close():
             if not held:
+                tables.clear()
                 return
             sizes = [len(h) for _, h, _, _, _ in held]
             hist, code, before, doc = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3, 4))
+            train = train3 = (doc & 1).astype(bool)
+            if tables:
+                # tokens of a history with a table count by the table
+                train, train3 = (np.where(np.isin(hist, [h for level, h, *_ in tables if level == k]), 0, train) for k in (1, 2))
+                more = [len(c) for _, _, c, _, _ in tables]
+                hist = np.concatenate([hist, np.repeat(np.array([h for _, h, *_ in tables], np.uint32), more)])
+                before = np.concatenate([before, np.repeat(np.array([x[3] for x in tables], np.uint32), more)])
+                code = np.concatenate([code, *[x[2] for x in tables]])
+                train, train3 = (np.concatenate([x, *[n if level == k else np.zeros_like(n) for level, *_, n in tables]]) for k, x in ((1, train), (2, train3)))
+                tables.clear()
             hot = code < HOT
             place = np.where(hot, code, 0)
             cls = np.where(hot, v.cls[place] if len(v.h) else 0, code.astype(np.int64) - HOT)
-            log = np.log10(ratios(hist, cls, code, before, (doc & 1).astype(bool), np.where(hot, share_hot[place], 0.0)))
+            log = np.log10(ratios(hist, cls, code, before, train, np.where(hot, share_hot[place], 0.0), train3)[: len(doc)])
             at, rows = 0, []
             for (chunk, *_), n in zip(held, sizes, strict=True):
                 d, x = doc[at : at + n] >> 1, log[at : at + n]
@@ -546,6 +727,10 @@ def _shards(shared):
                 if shard[k] != now:
                     yield from close()
                     now = shard[k]
+                if part[k] > 0:
+                    hist, before = (int(_unpack(b.column(i)[k].as_py(), np.uint32)[0]) for i in (3, 5))
+                    tables.append((part[k], hist, np.cumsum(_unpack(b.column(4)[k].as_py(), np.uint32), dtype=np.uint32), before, _unpack(b.column(6)[k].as_py(), np.int64)))
+                    continue
                 hist = np.cumsum(_unpack(b.column(3)[k].as_py(), np.uint32), dtype=np.uint64).astype(np.uint32)
                 held.append((chunk[k], hist, *(_unpack(b.column(i)[k].as_py(), np.uint32) for i in (4, 5, 6))))
         yield from close()
@@ -577,8 +762,11 @@ def token_factor(src: DataFrame, v: Vocabulary, logs: np.ndarray, tokens: int, d
     spark = src.sparkSession
     shards = max(1, -(-tokens // SHARD))
     n = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    shared = spark.sparkContext.broadcast((v, logs, documents))
+    often, tables = frequent(src.filter("train").select("text"), v, documents)
+    shared = spark.sparkContext.broadcast((v, logs, often))
     events = arrow_map(src, _events(shared, shards), EVENTS)
+    for level, x in enumerate(tables, 1):
+        events = events.unionByName(arrow_map(x, _deal(shared, shards, level), EVENTS))
     events = events.repartition(n, "shard").sortWithinPartitions("shard", "part")
     sums = cut(arrow_map(events, _shards(shared), SUMS), "lm-shards", "none")
     shared.destroy()

@@ -559,6 +559,31 @@ def test_tokens_go_to_any_number_of_shards(spark, monkeypatch, shards):
     assert len(got) == len(rows) and all(x > 0 for x in got.values())
 
 
+def test_frequent_histories_learn_from_the_whole_text(spark, monkeypatch):
+    """Whatever a shard holds, a previous token that stands too often for one has the weights of all its training text."""
+    r = random.Random(31)
+    rows = [(i, " ".join(r.choice(["a", "a", "b", f"w{r.randrange(25)}"]) for _ in range(r.randint(0, 40)))) for i in range(150)]
+    rows += [(700 + i, "a a a b a a") for i in range(40)] + [(None, None), (900, "never seen a b")]
+    d = docs(spark, rows)
+    counts, _, v, _, _, logs = maxent.fit(d)
+    src = d.selectExpr("xxhash64(doc_id, text) AS key", "coalesce(crc32(cast(doc_id AS string)), 0) % 7 != 2 AS train", "text").repartition(5)
+    n = sum(len((t or "").split()) + 1 for _, t in rows)
+    ratios = lambda: {x.key: x.ratio for x in maxent.token_factor(src, v, logs, n, len(rows)).collect()}
+    whole = ratios()
+    for shard in (1000, 300, 40):
+        monkeypatch.setattr(maxent, "SHARD", shard)
+        often, tables = maxent.frequent(src.filter("train").select("text"), v, len(rows))
+        assert (len(often) > 0, len(often.pairs) > 0) == (True, True) and len(tables) == 2
+        assert ratios() == pytest.approx(whole, rel=1e-4, abs=1e-3)
+
+
+def test_all_kinds_of_features_learn_from_every_minibatch(spark):
+    r = random.Random(5)
+    d = docs(spark, [(i, " ".join(r.choice(["one", "2", "three.", "vier"]) for _ in range(30))) for i in range(40)]).coalesce(1)
+    before, after = (maxent.fit(d, rounds=k)[3].reshape(maxent.FEATURES, -1) for k in (0, 1))
+    assert (before != after).any(axis=1).all()
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_on_odd_rows(spark, tmp_path):
     """Nulls, empties, repeats, a very long text and an empty table go through all stages."""
